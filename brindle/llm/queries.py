@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html, langid, mixing, packing, phrases, quantise
+from . import html, langid, mixing, packing, phrases, pii, quantise
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
         "op3_additive_quantisation": quantise.op3_additive_quantisation,
+        "op4_pii": pii.op4_pii,
         "op6_mixing": mixing.op6_mixing,
         "op7_html_extract": html.op7_html_extract,
         "op8_lz_fingerprint": phrases.op8_lz_fingerprint,
