@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, mixing, packing, phrases, pii, quantise
+from . import html, langid, lm, mixing, packing, phrases, pii, quantise
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op3_additive_quantisation": quantise.op3_additive_quantisation,
         "op4_pii": pii.op4_pii,
+        "op5_lm_score": lm.op5_lm_score,
         "op6_mixing": mixing.op6_mixing,
         "op7_html_extract": html.op7_html_extract,
         "op8_lz_fingerprint": phrases.op8_lz_fingerprint,
