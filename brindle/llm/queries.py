@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html, langid, lm, mixing, packing, phrases, pii, quantise
+from . import html, langid, lm, mixing, neardup, packing, phrases, pii, quantise
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
         "op2_packing": packing.op2_packing,
         "op3_additive_quantisation": quantise.op3_additive_quantisation,
         "op4_pii": pii.op4_pii,

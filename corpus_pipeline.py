@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from brindle.llm.common import documents, materialize
 from brindle.llm.langid import language_stage
 from brindle.llm.mixing import mixing_stage
+from brindle.llm.neardup import dedup_stage
 from brindle.llm.packing import packing_stage
 from brindle.llm.pii import pii_stage
 
 #: Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
     ("language", language_stage),
+    ("near_dedup", dedup_stage),
     ("pii", pii_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
