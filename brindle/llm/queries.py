@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, lm, mixing, neardup, packing, phrases, pii, quantise
+from . import html, langid, lm, mixing, neardup, packing, passages, phrases, pii, quantise
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_mixing": mixing.op6_mixing,
         "op7_html_extract": html.op7_html_extract,
         "op8_lz_fingerprint": phrases.op8_lz_fingerprint,
+        "op9_substring_dedup": passages.op9_substring_dedup,
         "op10_language_id": langid.op10_language_id,
     }
 
