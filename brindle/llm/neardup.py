@@ -7,7 +7,8 @@ candidates are verified by the weighted Jaccard similarity of their whole texts.
 
 Candidates of a bucket are first the pairs with its least text. Buckets whose texts then still lie in
 several classes are searched whole, in blocks: pairs of different classes whose samples agree enough
-are verified, the likeliest first, then all the rest that still join different classes.
+are verified. A text with many such partners gives its likeliest ones first; where it still has
+others in a different class, all of them are compared inside the blocks, and links alone leave them.
 
 Defined results: a text without a word (null, empty, punctuation alone) is in a class of its own;
 equal texts are in one class; a class is named by its least id; rows with a null id take part, and
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, doc_shingles, documents, has_rows, materialize, mix64, signed, shuffle_parts, small_batches
@@ -35,10 +36,10 @@ ROWS, BANDS = 4, 16
 SAMPLES = ROWS * BANDS
 #: Cells of the frequency sketch, and cells of one row of its table.
 CELLS, CELL_ROW = 1 << 20, 1 << 14
-#: A pair at 0.8 agrees in fewer of the 64 samples than this once in some 100,000 times.
-LEAST_AGREE = 37
-#: Texts of a block when a bucket is searched whole, and partners of a text that are verified first.
-BLOCK, FIRST_PARTNERS = 512, 8
+#: A pair at 0.8 agrees in fewer of the 64 samples than this about as seldom as it shares no band.
+LEAST_AGREE = 40
+#: Texts of a block when a bucket is searched whole by samples, and by texts; partners of a text that are verified first.
+BLOCK, TEXT_BLOCK, FIRST_PARTNERS = 512, 128, 8
 
 _rng = np.random.default_rng(23)
 _SEEDS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * U64(2) + U64(1)
@@ -168,10 +169,8 @@ def signatures(docs: DataFrame, idf: np.ndarray, width: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, weight double, bands array<long>, samples binary").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text keys that are similar enough; docs: (key, text). Only the texts of pairs are moved."""
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = materialize(docs.join(nodes, "key", "left_semi").dropDuplicates(["key"]), "texts")
+def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text keys that are similar enough; texts: (key, text), one row a key."""
     met = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,61 +188,109 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, width: int, sim
     return met.mapInArrow(run, "a long, b long")
 
 
-def _pairs_in_blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, key, class, weight, samples) sorted by cell; side 0 and 1 are the two blocks, 2 a block with itself."""
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell (first column) of a sorted stream."""
     rest: list[pa.RecordBatch] = []
-
-    def found(rows: pa.Table) -> tuple[np.ndarray, ...] | None:
-        side, key, own, weight = (rows.column(i).to_numpy() for i in range(1, 5))
-        sig = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
-        out: list[tuple] = []
-        for i in left:
-            j = right[(own[right] != own[i]) & (np.minimum(weight[right], weight[i]) >= similarity * np.maximum(weight[right], weight[i]))]
-            j = j[key[j] > key[i]] if side[i] == 2 else j
-            if len(j):
-                agree = (sig[j] == sig[i]).sum(1)
-                j, agree = j[agree >= LEAST_AGREE], agree[agree >= LEAST_AGREE]
-                out.append((np.full(len(j), key[i]), key[j], agree))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else None
-
-    def pieces() -> Iterator[pa.Table]:
-        nonlocal rest
-        for b in batches:
-            cells = b.column(0).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(cells[1:] != cells[:-1]) + 1
-            at = 0
-            if rest and len(cells) and rest[-1].column(0)[0].as_py() != cells[0]:
-                yield pa.Table.from_batches(rest)
-                rest = []
-            for c in cuts:
-                yield pa.Table.from_batches([*rest, b.slice(at, c - at)])
-                rest, at = [], c
-            rest.append(b.slice(at))
-        if rest:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        if rest and rest[-1].column(0)[0].as_py() != ids[0]:
             yield pa.Table.from_batches(rest)
-
-    for rows in pieces():
-        if (pairs := found(rows)) is not None and len(pairs[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int64))], names=["a", "b", "agree"])
-
-
-def rest_pairs(buckets: DataFrame, sigs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, agree, class_a, class_b): pairs of different classes that share a bucket and agree in enough samples.
-
-    buckets: (bucket, key) of buckets with texts of several classes; own: (key, class). A bucket is dealt
-    into blocks of about BLOCK texts, and two blocks meet in a cell of their own.
-    """
+            rest = []
+        at = 0
+        for c in np.flatnonzero(ids[1:] != ids[:-1]) + 1:
+            yield pa.Table.from_batches([*rest, b.slice(at, c - at)])
+            rest, at = [], c
+        rest.append(b.slice(at))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+class Cell:
+    """Two blocks of a bucket, or one (side 2) with itself: rows (cell, side, band, key, class, weight, samples)."""
+
+    def __init__(self, rows: pa.Table, similarity: float):
+        self.side, band, self.key, self.own, self.weight = (rows.column(i).to_numpy() for i in range(1, 6))
+        self.sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint32).reshape(-1, SAMPLES)
+        self.band, self.similarity = int(band[0]), similarity
+        self.left, self.right = np.flatnonzero(self.side != 1), np.flatnonzero(self.side != 0)
+
+    def partners(self, i: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of another class that can be similar to row i, and their agreements; each pair only in the first band that it shares."""
+        j = self.right[self.own[self.right] != self.own[i]]
+        j = j[np.minimum(self.weight[j], self.weight[i]) >= self.similarity * np.maximum(self.weight[j], self.weight[i])]
+        if both:
+            j = j[self.key[j] > self.key[i]]
+        same = self.sig[j] == self.sig[i]
+        agree = same.sum(1)
+        good = agree >= LEAST_AGREE
+        j, agree, same = j[good], agree[good], same[good]
+        first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == self.band
+        return j[first], agree[first]
+
+
+def likely_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): partners of each text, at most FIRST_PARTNERS of a block; and (a, null) for a text with more."""
+    for rows in cells(batches):
+        cell = Cell(rows, similarity)
+        out_a, out_b = [], []
+        for i in cell.left:
+            j, agree = cell.partners(i, cell.side[i] == 2)
+            if len(j) > FIRST_PARTNERS:
+                j = j[np.lexsort((cell.key[j], -agree))[:FIRST_PARTNERS]]
+                out_a.append(int(cell.key[i]))
+                out_b.append(None)
+            out_a += [int(cell.key[i])] * len(j)
+            out_b += cell.key[j].tolist()
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+
+def exact_links(batches: Iterator[pa.RecordBatch], idf: np.ndarray, width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): links of side 0 to side 1, found by comparing all likely partners; one for each class that a text joins in a cell. Rows of Cell with asked and text."""
+    for rows in cells(batches):
+        cell = Cell(rows, similarity)
+        asked = rows.column(7).to_numpy(zero_copy_only=False)
+        texts = rows.column(8).to_pylist()
+        held = {i: weighted(s, idf) for i, s in doc_shingles(texts, width)}
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(cell.side == 0):
+            cell.right = np.flatnonzero(cell.side == 1)
+            j, agree = cell.partners(i, False)
+            j, agree = j[~(asked[j] & (cell.key[j] <= cell.key[i]))], agree[~(asked[j] & (cell.key[j] <= cell.key[i]))]  # a pair of two asked texts once
+            joined: set[int] = set()
+            for k in j[np.argsort(-agree, kind="stable")]:
+                if int(cell.own[k]) not in joined and weighted_jaccard(held[i], held[k]) >= similarity:
+                    joined.add(int(cell.own[k]))
+                    out.append((int(cell.key[i]), int(cell.key[k])))
+        if out:
+            a, b = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def in_blocks(buckets: DataFrame, sigs: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows of Cell, sorted by cell. buckets: (bucket, band, key); own: (key, class). A bucket is dealt into blocks of about BLOCK texts, and two blocks meet in a cell of their own."""
     sized = buckets.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = buckets.join(sized, "bucket").join(sigs.select("key", "weight", "samples"), "key").join(own, "key")
-    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = buckets.join(sized, "bucket").join(sigs.select("key", "weight", "samples").join(own, "key"), "key")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    dealt = rows.select(cell.alias("cell"), side.alias("side"), "key", F.col("class").alias("own"), "weight", "samples")
-    dealt = dealt.repartition(shuffle_parts(buckets.sparkSession), "cell").sortWithinPartitions("cell")
-    pairs = dealt.mapInArrow(lambda it: _pairs_in_blocks(it, similarity), "a long, b long, agree long").distinct()
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree").distinct()
+    dealt = rows.select(cell.alias("cell"), side.alias("side"), "band", "key", "class", "weight", "samples")
+    return dealt.repartition(shuffle_parts(buckets.sparkSession), "cell").sortWithinPartitions("cell")
+
+
+def asked_in_blocks(buckets: DataFrame, asked: DataFrame, sigs: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of Cell with asked and text: in each bucket, blocks of the asked texts (side 0) meet blocks of all its texts (side 1)."""
+    rows = buckets.join(asked.withColumn("asked", F.lit(True)), "key", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    sized = rows.groupBy("bucket").agg(F.ceil(F.sum(F.col("asked").cast("int")) / TEXT_BLOCK).cast("int").alias("ours"), F.ceil(F.count(F.lit(1)) / TEXT_BLOCK).cast("int").alias("theirs")).where("ours > 0")
+    full = sigs.select("key", "weight", "samples").join(own, "key").join(texts, "key")
+    rows = rows.join(sized, "bucket").join(full, "key")
+    h = F.xxhash64("key")
+    lane = lambda side, mine, other: F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda o: F.struct(F.lit(side).alias("side"), (F.pmod(h, F.col(mine)) if side == 0 else o).cast("int").alias("x"), (o if side == 0 else F.pmod(h, F.col(mine))).cast("int").alias("y")))
+    spots = F.when(F.col("asked"), F.concat(lane(0, "ours", "theirs"), lane(1, "theirs", "ours"))).otherwise(lane(1, "theirs", "ours"))
+    dealt = rows.withColumn("spot", F.explode(spots)).select(F.xxhash64("bucket", "spot.x", "spot.y").alias("cell"), "spot.side", "band", "key", "class", "weight", "samples", "asked", "text")
+    return dealt.repartition(shuffle_parts(buckets.sparkSession), "cell").sortWithinPartitions("cell")
 
 
 def text_components(docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -251,41 +298,31 @@ def text_components(docs: DataFrame, width: int, similarity: float) -> DataFrame
     counts, n = sketch_frequencies(docs.select("text"), width)
     idf = idf_of(counts, n)
     sigs = materialize(signatures(docs.select("key", "text"), idf, width), "signatures")
-    buckets = sigs.select(F.explode("bands").alias("bucket"), "key")
+    buckets = sigs.select(F.posexplode("bands").alias("band", "bucket"), "key")
     firsts = buckets.groupBy("bucket").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = materialize(buckets.join(firsts, "bucket"), "buckets")
+    # the texts of all candidates, moved once
+    texts = materialize(docs.join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
     pairs = shared.where("a <> key").select("a", F.col("key").alias("b")).distinct()
-    edges = materialize(verified(pairs, docs, idf, width, similarity), "links")
-    tested = materialize(pairs, "tested")
+    edges = materialize(verified(pairs, texts, idf, width, similarity), "links")
     own = materialize(components(edges), "classes")
 
     def classed(rows: DataFrame, key: str, name: str) -> DataFrame:
         return rows.join(own.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
-    several = classed(shared.select("bucket", "key"), "key", "class").groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-    open_rows = shared.select("bucket", "key").join(several.select("bucket"), "bucket", "left_semi")
-    keys = open_rows.select("key").distinct()
-    rest = rest_pairs(open_rows, sigs, classed(keys, "key", "class"), similarity)
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(rest.join(known, ["a", "b"], "left_anti"), "rest")
-    first = True
-    while has_rows(rest):
-        now = classed(classed(rest, "a", "class_a"), "b", "class_b").where("class_a <> class_b")
-        if first:  # the likeliest partners of each text in each other class
-            place = F.row_number().over(Window.partitionBy("a", "class_b").orderBy(F.desc("agree"), "b"))
-            chosen = now.withColumn("place", place).where(F.col("place") <= FIRST_PARTNERS)
-        else:
-            chosen = now
-        chosen = materialize(chosen.select("a", "b"), "chosen")
-        if not has_rows(chosen):
-            break
-        more = materialize(verified(chosen, docs, idf, width, similarity), "links")
+    several = classed(shared, "key", "class").groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    open_rows = materialize(shared.select("bucket", "band", "key").join(several.select("bucket"), "bucket", "left_semi"), "open")
+    if has_rows(open_rows):
+        keys = open_rows.select("key").distinct()
+        likely = materialize(in_blocks(open_rows, sigs, classed(keys, "key", "class")).mapInArrow(lambda it: likely_pairs(it, similarity), "a long, b long"), "likely")
+        more = materialize(verified(likely.where("b is not null"), texts, idf, width, similarity), "links")
         edges = edges.unionByName(more)
         own = materialize(components(edges), "classes")
-        if not first:
-            break
-        first = False
-        rest = rest.join(chosen, ["a", "b"], "left_anti")
+        asked = likely.where("b is null").select(F.col("a").alias("key")).distinct()
+        if has_rows(asked):
+            rows = asked_in_blocks(open_rows, asked, sigs, classed(keys, "key", "class"), texts)
+            more = materialize(rows.mapInArrow(lambda it: exact_links(it, idf, width, similarity), "a long, b long"), "links")
+            own = materialize(components(edges.unionByName(more)), "classes")
     return own.select(F.col("node").alias("key"), F.col("component").alias("class"))
 
 
