@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SNIPPET_CHARS = 180
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -83,7 +84,7 @@ def fnv1a64_bytes(contents: list[bytes]) -> np.ndarray:
     return h
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv1a64(contents: pd.Series) -> pd.Series:
     """FNV-1a 64 of a binary or string column, its 64 bits as a signed long."""
     raw = [c.encode("utf-8", "surrogatepass") if isinstance(c, str) else bytes(c) for c in contents]
