@@ -97,6 +97,12 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def disclosure(n: Column) -> Column:
+    """PMI of entity and term over the entity's information, from n_both, n_entity, n_term and the number of texts."""
+    pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
+    return pmi / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9))
+
+
 def revealing_terms(docs: DataFrame, text_col: str, support: int = SUPPORT, near: int = NEAR_WORDS) -> DataFrame:
     """(text_key, term, disclosure): terms that reveal an entity of the text, from co-occurrence over all distinct texts."""
     spark = docs.sparkSession
@@ -111,7 +117,12 @@ def revealing_terms(docs: DataFrame, text_col: str, support: int = SUPPORT, near
     value = F.when(F.col("span.kind") == "email", F.lower("span.value")).otherwise(F.regexp_replace("span.value", "[^0-9.]", ""))
     seen = materialize(spans.select("text_key", F.concat_ws(":", "span.kind", value).alias("entity"), terms.alias("terms")).distinct(), "entities")
     met = seen.select("text_key", "entity", F.explode("terms").alias("term")).distinct()
-    joint = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    n = F.lit(float(keyed.select("text_key").distinct().count()))
+    n_entity = seen.select("text_key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    joint = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support).join(n_entity, "entity")
+    # a term is in at least as many texts as it stands near some entity in: what cannot reach the threshold even so needs no count
+    near_any = met.select("text_key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    joint = joint.join(near_any, "term").where(disclosure(n) >= GENERALISE).drop("n_term")
     joint = materialize(joint, "joint")
     empty = spark.createDataFrame([], "text_key long, term string, disclosure double")
     if not has_rows(joint):
@@ -120,10 +131,7 @@ def revealing_terms(docs: DataFrame, text_col: str, support: int = SUPPORT, near
     wanted = joint.select("term").distinct()
     in_text = keyed.select("text_key", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
     n_term = in_text.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_entity = seen.select("text_key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n = F.lit(float(keyed.select("text_key").distinct().count()))
-    pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
-    scored = joint.join(n_term, "term").join(n_entity, "entity").withColumn("disclosure", pmi / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9)))
+    scored = joint.join(n_term, "term").withColumn("disclosure", disclosure(n))
     scored = scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
     return materialize(met.select("text_key", "entity").distinct().join(scored, "entity").groupBy("text_key", "term").agg(F.max("disclosure").alias("disclosure")), "revealing")
 
