@@ -77,6 +77,6 @@ def parse_log(lines: DataFrame) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The records of one log file."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "line"))
     return parse_log(lines.select((F.col("pos") + 1).alias("line_no"), "line"))
