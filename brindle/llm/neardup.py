@@ -39,7 +39,7 @@ CELLS, CELL_ROW = 1 << 20, 1 << 14
 #: A pair at 0.8 agrees in fewer of the 64 samples than this about as seldom as it shares no band.
 LEAST_AGREE = 40
 #: Texts of a block when a bucket is searched whole by samples, and by texts; partners of a text that are verified first.
-BLOCK, TEXT_BLOCK, FIRST_PARTNERS = 512, 128, 8
+BLOCK, TEXT_BLOCK, FIRST_PARTNERS = 512, 512, 8
 
 _rng = np.random.default_rng(23)
 _SEEDS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * U64(2) + U64(1)
