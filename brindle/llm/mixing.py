@@ -34,7 +34,8 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words
         return taken
     if budget >= total:
         return counts.astype(np.int64)
-    taken = np.minimum(counts, (counts * (budget / total)).astype(np.int64))
+    # in proportion to the counts, but for a remainder that the program can fit
+    taken = np.minimum(counts, (counts * (max(0, budget - dp_words // 4) / total)).astype(np.int64))
     rest = budget - int((lengths * taken).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:
@@ -68,14 +69,27 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words
     return taken
 
 
-def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("size", ignore_index=True)
-    lengths, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-    whole, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-    budget = int(round(target))
-    copies = budget // whole if whole else 0
-    extra = subset_counts(lengths, counts, budget - copies * whole)
-    return pdf.assign(copies=copies, extra=extra)[["source_key", "source_size", "target", "size", "copies", "extra"]]
+def source_plan(lengths: np.ndarray, counts: np.ndarray, budget: int, most_copies: int) -> np.ndarray:
+    """Copies to take of each length: whole copies of the source and a subset; where that leaves a gap, documents may be repeated unevenly."""
+    whole = int((lengths * counts).sum())
+    if not whole:
+        return np.zeros(len(lengths), np.int64)
+    copies = min(budget // whole, most_copies)
+    even = counts * copies + (subset_counts(lengths, counts, budget - copies * whole) if copies < most_copies else 0)
+    if int((even * lengths).sum()) == budget:
+        return even
+    uneven = subset_counts(lengths, counts * most_copies, budget)
+    return max(even, uneven, key=lambda x: int((x * lengths).sum()))
+
+
+def _planner(most_copies: int):
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size", ignore_index=True)
+        counts = pdf["n"].to_numpy(np.int64)
+        total = source_plan(pdf["size"].to_numpy(np.int64), counts, int(round(float(pdf["target"].iloc[0]))), most_copies)
+        return pdf.assign(copies=total // counts, extra=total % counts)[["source_key", "source_size", "target", "size", "copies", "extra"]]
+
+    return plan
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most_copies: int = 3, seed: int = 17) -> DataFrame:
@@ -106,7 +120,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         level, before = (max(level, (total - held) / free) if free else level), level
     sources = sources.select("source_key", "source_size", F.least(cap, F.col("w") * F.lit(level)).alias("target"))
     by_size = counted.groupBy("source_key", "size").agg(F.sum("n").alias("n")).where("size > 0").join(sources, "source_key")
-    plan = materialize(by_size.groupBy("source_key").applyInPandas(_plan, "source_key string, source_size long, target double, size long, copies long, extra long"), "plan")
+    plan = materialize(by_size.groupBy("source_key").applyInPandas(_planner(most_copies), "source_key string, source_size long, target double, size long, copies long, extra long"), "plan")
     so_far = Window.partitionBy("source_key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     decided = (
         counted.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
