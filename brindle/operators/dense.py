@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
+from ..plans.workspace import written
 from .bm25 import top_k
 
-#: Queries of a block, and rows whose scores with a block are in memory at once.
+#: Queries of a block, and rows of a block.
 QUERY_BLOCK, ROW_BLOCK = 512, 2048
 
 
@@ -46,7 +47,7 @@ def search_one(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def search_flat(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, chunk_id, score) for queries (qid, embedding): each task scores its rows against a block of queries and keeps k of each.
+    """(qid, rank, chunk_id, score) for queries (qid, embedding): rows and queries meet in blocks, and each meeting keeps k of each query.
 
     Products are summed in double precision, left to right, and compared as floats, ties to the smaller id.
     """
@@ -60,43 +61,39 @@ def search_flat(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if width != asked:
         raise ValueError(f"queries have {asked} dimensions, the index {width}")
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, QUERY_BLOCK):
-                s = b.slice(i, QUERY_BLOCK)
-                q = np.asarray(s.column(1).to_pylist(), float)
-                yield pa.RecordBatch.from_arrays([pa.array([s.column(0).to_numpy().tobytes()], pa.binary()), pa.array([q.tobytes()], pa.binary())], names=["qids", "q"])
-
-    blocks = queries.select(F.col("qid").cast("long"), F.col("embedding").cast("array<double>")).coalesce(1 + queries.rdd.getNumPartitions() // 64).mapInArrow(packed, "qids binary, q binary")
-    # each block of queries meets each partition of rows once
-    found = None
-    for r in blocks.toLocalIterator():
-        qids, q = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["q"]).reshape(-1, width)
-        part = vectors.select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_scorer(qids, q, k), schema)
-        found = part if found is None else found.unionByName(part)
-    return top_k(found, k)
-
-
-def _scorer(qids: np.ndarray, q: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(qids)
-        for b in batches:
-            ids, x = b.column(0).to_numpy(), np.stack(b.column(1).to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, q.shape[1]))
-            for i in range(0, len(ids), ROW_BLOCK):
-                rows, own = x[i : i + ROW_BLOCK], ids[i : i + ROW_BLOCK]
-                s = np.zeros((len(q), len(rows)))
-                for d in range(q.shape[1]):
-                    s += q[:, d, None] * rows[None, :, d]
-                s = s.astype(np.float32)
-                for j in range(len(q)):
-                    score, where = np.concatenate([best[j][0], s[j]]), np.concatenate([best[j][1], own])
-                    if len(score) > 4 * k:  # what ties with the k-th stays
-                        keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-                        score, where = score[keep], where[keep]
-                    order = np.lexsort((where, -score))[:k]
-                    best[j] = (score[order], where[order])
-        n = [len(s) for s, _ in best]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate([w for _, w in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["qid", "chunk_id", "score"])
-
-    return run
+            for i in range(0, b.num_rows, size):
+                part = b.slice(i, size)
+                x = np.asarray(part.column(1).to_pylist(), float)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "x"])
+
+    def blocks(df: DataFrame, key: str, size: int) -> DataFrame:
+        return df.select(F.col(key).cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(lambda it: packed(it, size), "ids binary, x binary")
+
+    # every block of rows meets every block of queries; what goes to the driver is a number for each block of queries
+    asked_in = written(blocks(queries, "qid", QUERY_BLOCK).withColumn("block", F.monotonically_increasing_id()).withColumnsRenamed({"ids": "qids", "x": "q"}), "queries")
+    numbers = [F.lit(r["block"]) for r in asked_in.select("block").collect()]
+    met = blocks(vectors, "chunk_id", ROW_BLOCK).withColumn("block", F.explode(F.array(*numbers))).join(asked_in, "block")
+    return top_k(met.select("qids", "q", "ids", "x").mapInArrow(lambda it: _scored(it, width, k), schema), k)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of each block for each query, and what ties with them."""
+    for b in batches:
+        for qids, q, ids, x in zip(*(b.column(i).to_pylist() for i in range(4))):
+            qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
+            q, x = np.frombuffer(q).reshape(-1, width), np.frombuffer(x).reshape(-1, width)
+            s = np.zeros((len(q), len(x)))
+            for j in range(width):  # left to right
+                s += q[:, j, None] * x[None, :, j]
+            s = s.astype(np.float32)
+            if len(x) > k:
+                row, col = np.nonzero(s >= np.partition(s, len(x) - k, axis=1)[:, [len(x) - k]])
+            else:
+                row, col = np.divmod(np.arange(s.size), len(x))
+            order = np.lexsort((ids[col], -s[row, col], row))
+            row, col = row[order], col[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[keep], col[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[col]), pa.array(s[row, col])], names=["qid", "chunk_id", "score"])
