@@ -115,8 +115,13 @@ class RetrievalSession:
                 near, error = None, str(e)
         return Answer(lexical, near, fusion.hybrid(lexical, near, shown=shown), dense_error=error)
 
-    def ask(self, queries: DataFrame, budget: int = context.BUDGET_BYTES, answer_empty: bool = True) -> Answer:
-        """Search, prompts, answers and citation checks; without a generator, retrieval alone. answer_empty: whether queries without a result are put to the generator."""
+    def ask(self, queries: DataFrame, budget: int = context.BUDGET_BYTES, answer_empty: bool = True, trim: bool = True) -> Answer:
+        """Search, prompts, answers and citation checks; without a generator, retrieval alone.
+
+        trim takes white space off the questions' ends; answer_empty says whether queries without a result are put to the generator.
+        """
+        if trim:
+            queries = queries.withColumn("text", F.trim("text"))
         out = self.search(queries)
         out.ranked = written(out.ranked, "ranked")
         found = fusion.described(out.ranked, self.chunks, self.docs).select("qid", "rank", "chunk_id", F.col("path").alias("source"), "text")
