@@ -28,12 +28,17 @@ BOOKS, WORDS, BEAM = 8, 256, 6
 SHORTLIST, ROW_BLOCK, QUERY_BLOCK = 200, 8192, 512
 
 
+def nearest_word(x: np.ndarray, c: np.ndarray, lot: int = 2048) -> np.ndarray:
+    half = (c * c).sum(1) / 2
+    return np.concatenate([(half - x[i : i + lot] @ c.T).argmin(1) for i in range(0, len(x), lot)])
+
+
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
     c = x[rng.permutation(len(x))[:k]].copy()
     if len(c) < k:
         c = np.vstack([c, np.zeros((k - len(c), x.shape[1]))])
     for _ in range(rounds):
-        near = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        near = nearest_word(x, c)
         count = np.bincount(near, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -41,8 +46,15 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) ->
     return c
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n x books) of the best sums that a beam search finds, and those sums."""
+def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM, lot: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (n x books) of the best sums that a beam search finds, and those sums; lot by lot, so the beams of few rows are held."""
+    codes, sums = np.empty((len(x), len(books)), np.uint8), np.empty(x.shape)
+    for i in range(0, len(x), lot):
+        codes[i : i + lot], sums[i : i + lot] = _encode_lot(x[i : i + lot].astype(float), books, beam)
+    return codes, sums
+
+
+def _encode_lot(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     n, d = x.shape
     rest = x[:, None, :].copy()
     codes = np.zeros((n, 1, 0), np.uint8)
@@ -66,7 +78,7 @@ def fit_books(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int =
     for _ in range(books):
         c = kmeans(rest, words, rng)
         out.append(c)
-        rest = rest - c[((c * c).sum(1) - 2 * rest @ c.T).argmin(1)]
+        rest = rest - c[nearest_word(rest, c)]
     found = np.asarray(out)
     for _ in range(refine):
         codes, _ = encode(x, found)
@@ -114,9 +126,7 @@ def build_index(v: DataFrame, books: np.ndarray) -> DataFrame:
         for ids, x in blocks(batches, ROW_BLOCK):
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
-            codes, sums = np.empty((len(ids), len(books)), np.uint8), np.empty_like(x)
-            for i in range(0, len(ids), 512):
-                codes[i : i + 512], sums[i : i + 512] = encode(x[i : i + 512], books)
+            codes, sums = encode(x, books)
             made = [ids, codes, np.sqrt((x * x).sum(1)), np.sqrt((sums * sums).sum(1)), x]
             yield pa.RecordBatch.from_arrays([pa.array([len(ids)]), *(pa.array([m.tobytes()], pa.binary()) for m in made)], names=["n", "ids", "codes", "norms", "sum_norms", "v"])
 
@@ -148,6 +158,15 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.nd
     return tuple(np.concatenate(a) for a in zip(*out))
 
 
+def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """Each query's k best of two results."""
+    q, v, s = (np.concatenate(x) for x in zip(a, b))
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], v[keep], s[keep]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of vectors to each row of queries, its own id left out.
 
@@ -162,26 +181,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     part = v.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, sample / n)))
-    rows = sorted((r["id"], r["v"]) for r in part.collect())
-    books = fit_books(np.asarray([r for _, r in rows] or [r["v"] for r in v.limit(1).collect()], float))
+    got = part.select("id", "v").toPandas()  # bounded by `sample`
+    got = got if len(got) else v.limit(1).select("id", "v").toPandas()
+    fit = np.stack(got["v"].to_numpy()).astype(float)
+    books = fit_books(fit[np.lexsort((*fit.T[:4], got["id"].to_numpy()))])
     width = books.shape[2]
-    index = materialize(build_index(v.repartition(max(1, -(-n // ROW_BLOCK)), "id"), books), "codes")
+    index = materialize(build_index(v.repartition(max(1, -(-n // ROW_BLOCK))), books), "codes")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in blocks(batches, QUERY_BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["q_ids", "q"])
 
-    in_blocks = q.repartition(max(1, -(-n // (20 * QUERY_BLOCK))), "id").mapInArrow(packed, "q_ids binary, q binary")
+    in_blocks = q.repartition(max(1, -(-n // (20 * QUERY_BLOCK)))).mapInArrow(packed, "q_ids binary, q binary")
     in_blocks = materialize(in_blocks.withColumn("block", F.monotonically_increasing_id()), "queries")
     numbers = [r[0] for r in in_blocks.select("block").collect()]  # one number for each QUERY_BLOCK queries
     spread = index.withColumn("block", F.explode(F.array(*[F.lit(x).cast("long") for x in numbers]) if numbers else F.array().cast("array<long>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, best = None, None  # a block of queries and its best so far
         for b in batches:
             for q_ids, qv, ids, codes, norms, sums, x in zip(*(b.column(i).to_pylist() for i in range(7))):
                 a = [np.frombuffer(y, float) for y in (qv, norms, sums, x)]
                 found = search_block(np.frombuffer(q_ids, np.int64), a[0].reshape(-1, width), np.frombuffer(ids, np.int64), np.frombuffer(codes, np.uint8).reshape(-1, len(books)), a[1], a[2], a[3].reshape(-1, width), books, k, shortlist)
-                yield pa.RecordBatch.from_arrays([pa.array(y) for y in found], names=["query_id", "vec_id", "score"])
+                if last is not None and last != q_ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(y) for y in best], names=["query_id", "vec_id", "score"])
+                    best = None
+                last, best = q_ids, merged(best, found, k) if best is not None else found
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(y) for y in best], names=["query_id", "vec_id", "score"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are whole blocks here
     met = in_blocks.join(spread, "block").select("q_ids", "q", "ids", "codes", "norms", "sum_norms", "v").mapInArrow(run, result)
