@@ -157,11 +157,18 @@ def pack_round(sizes: list[tuple[int, bool]], capacity: int, segments: int, loss
             pieces.append([item, start, min(top, n - start), bears])
     bins = [[pieces[i] for i in b] for b in pack_items([(p[2], p[2] if p[3] else 0) for p in pieces], capacity, segments, loss)]
     full, rest = fill(bins, capacity, segments, loss)
-    if last:
-        short = [b for b in full if (t := sum(p[2] for p in b)) < capacity and t & (t - 1)]
-        full = [b for b in full if not ((t := sum(p[2] for p in b)) < capacity and t & (t - 1))]
-        return full + power_cut(rest + [p for b in short for p in b], capacity, segments), []
-    return full, rest
+    done: list[list[list[int]]] = []
+    crowded: list[list[int]] = []  # of sequences that have no room for another segment
+    for b in full:
+        total = sum(p[2] for p in b)
+        if total == capacity or total & (total - 1) == 0:
+            done.append(b)
+        elif len(b) >= segments:
+            crowded += b
+        else:
+            rest += b
+    done += power_cut(crowded, capacity, segments)
+    return (done + power_cut(rest, capacity, segments), []) if last else (done, rest)
 
 
 def _pack_partition(batches: Iterator[pa.RecordBatch], capacity: int, segments: int, loss: int) -> Iterator[pa.RecordBatch]:
