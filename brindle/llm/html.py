@@ -36,6 +36,7 @@ CLOSES = {"dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td
 CONTAINER = {"article", "body", "div", "main", "section", "td", "blockquote", "html", "center", "dd", "li", "figure", "pre"}
 # words of class, id and role values that name furniture: fixed values
 FURNITURE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "cookie", "cookies", "consent", "gdpr", "dialog", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "subscribe", "toc", "toolbar", "widget", "complementary", "contentinfo", "alert", "hidden"}
+OWN = {"article", "post", "entry", "story", "content"}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -60,8 +61,12 @@ def furniture(tag: str, attrs: str, parent: Node) -> bool:
         name, value = name.lower(), "".join(value)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and any(w.lower() in FURNITURE for w in _NAME.findall(value)):
-            return True
+        if name in ("class", "id", "role"):
+            words = {w.lower() for w in _NAME.findall(value)}
+            if words & OWN:  # an article's own header is text
+                words.discard("header")
+            if words & FURNITURE:
+                return True
     return False
 
 
