@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python; texts can be long, so few rows keep a worker's memory bounded.
-BATCH_ROWS = "256"
+#: Rows and bytes of one Arrow batch handed to Python: texts can be long, so the bytes bound a worker's memory.
+BATCH_ROWS, BATCH_BYTES = "8192", "4m"
 
 U64 = np.uint64
 _WORD = np.zeros(256, dtype=bool)
@@ -25,8 +27,9 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Plans built from now on hand Python at most BATCH_ROWS rows at a time."""
+    """Plans run from now on hand Python at most BATCH_ROWS rows and about BATCH_BYTES at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def workspace(spark: SparkSession) -> str:
@@ -42,10 +45,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later reads recompute nothing and survive lost executors."""
     spark = df.sparkSession
     path = f"{workspace(spark)}/brindle/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(run):
+    """run, giving memory back to the system when a task's stream ends: idle workers stay, and share the executor with what comes next."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
 

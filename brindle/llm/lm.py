@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +31,12 @@ from .common import documents, id_crc, materialize, shuffle_parts, small_batches
 #: Classes of the model, with UNKNOWN, END and BEGIN, and those of endings among them; bytes of an ending; width of a word's vector.
 CLASSES, ENDINGS, TAIL, WIDTH = 1024, 256, 3, 32
 UNKNOWN, END, BEGIN = 0, 1, 2
-#: Documents that share one dictionary of counts when they are scored.
-GROUP_DOCS = 8192
+#: Documents and bytes, about, that share one dictionary of counts when they are scored.
+GROUP_DOCS, GROUP_BYTES = 8192, 32_000_000
 #: Distinct words that a counting task holds before it hands them on.
 HELD_WORDS = 400_000
-#: Training tokens whose word triples are summed up at once, triples of a step, noise words of a step.
-TRAIN_TOKENS, STEP, NOISE = 1 << 21, 2048, 64
+#: Training tokens whose word triples are summed up at once, triples of a step, noise words of a step; and steps that a lot of few distinct triples has at least.
+TRAIN_TOKENS, STEP, NOISE, LEAST_STEPS = 1 << 21, 2048, 64, 200
 END_WORD = b""
 
 
@@ -72,7 +73,8 @@ class Params:
         """Small random vectors, and biases that give each class its share."""
         rng = np.random.default_rng(seed)
         n = len(share)
-        return cls(rng.normal(0, 0.1, (n, width)), rng.normal(0, 0.1, (n, width)), np.ones((2, width)), np.log(np.maximum(share, 1e-12)))
+        made = rng.normal(0, 0.1, (n, width)), rng.normal(0, 0.1, (n, width)), np.ones((2, width)), np.log(np.maximum(share, 1e-12))
+        return cls(*(a.astype(np.float32) for a in made))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -87,9 +89,9 @@ class Params:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by (word two back, word), by (word one back, word) with the bias, and log-normalisers by (two back, one back)."""
-        far = (self.context * self.scale[0]) @ self.target.T
-        near = (self.context * self.scale[1]) @ self.target.T
-        bias = self.bias.copy()
+        context, target = self.context.astype(float), self.target.astype(float)
+        far, near = (context * self.scale[0]) @ target.T, (context * self.scale[1]) @ target.T
+        bias = self.bias.astype(float)
         bias[BEGIN] = -np.inf  # never a target
         top_far, top_near = far.max(1), (near + bias).max(1)
         z = np.exp(far - top_far[:, None]) @ np.exp(near + bias - top_near[:, None]).T
@@ -105,33 +107,39 @@ def summed(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return index[at], np.add.reduceat(grad, at)
 
 
-def train_nce(p: Params, share: np.ndarray, triples: np.ndarray, weight: np.ndarray, rng: np.random.Generator, memory: list[np.ndarray], rate: float = 0.1) -> None:
-    """One pass of Adagrad steps over word triples (n x 3: two back, one back, word), in place."""
-    noise_log = np.log(np.maximum(share, 1e-12)) + np.log(NOISE)
+def train_nce(p: Params, share: np.ndarray, triples: np.ndarray, weight: np.ndarray, rng: np.random.Generator, memory: list[np.ndarray], rate: float = 0.05) -> None:
+    """Adagrad steps over word triples (n x 3: two back, one back, word), in place: one pass, or more where they are few."""
+    weight = weight.astype(p.target.dtype)
+    noise_log = (np.log(np.maximum(share, 1e-12)) + np.log(NOISE)).astype(p.target.dtype)
     cdf = np.cumsum(share)
-    order = rng.permutation(len(triples))
+    passes = max(1, -(-LEAST_STEPS // max(1, -(-len(triples) // STEP))))
+    order = np.concatenate([rng.permutation(len(triples)) for _ in range(passes)])
     for at in range(0, len(order), STEP):
         pick = order[at : at + STEP]
         far, near, word = triples[pick].T
         g_weight = (weight[pick] / weight[pick].mean()) if len(pick) else weight[pick]
         q_far, q_near = p.context[far], p.context[near]
-        made = q_far * p.scale[0] + q_near * p.scale[1]
+        made = q_far * p.scale[0]
+        made += q_near * p.scale[1]
         noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), len(share) - 1)
         r_word, r_noise = p.target[word], p.target[noise]
-        s_word = (made * r_word).sum(1) + p.bias[word] - noise_log[word]
-        s_noise = made @ r_noise.T + p.bias[noise] - noise_log[noise]
-        g_word = -g_weight / (1 + np.exp(np.clip(s_word, -30, 30)))
-        g_noise = g_weight[:, None] / (1 + np.exp(-np.clip(s_noise, -30, 30)))
-        g_made = g_word[:, None] * r_word + g_noise @ r_noise
-        scale = np.stack([(g_made * q_far).sum(0), (g_made * q_near).sum(0)])
+        s_word = np.einsum("ij,ij->i", made, r_word) + p.bias[word] - noise_log[word]
+        s_noise = made @ r_noise.T + (p.bias[noise] - noise_log[noise])
+        scale = 1 / len(pick)
+        g_word = -scale * g_weight / (1 + np.exp(np.clip(s_word, -30, 30)))
+        g_noise = (scale * g_weight)[:, None] / (1 + np.exp(-np.clip(s_noise, -30, 30)))
+        g_made = g_word[:, None] * r_word
+        g_made += g_noise @ r_noise
+        # the bias goes with the target vector, as one more column
+        made = np.column_stack([made, np.ones(len(made), made.dtype)])
+        where, grad = summed(np.concatenate([word, noise]), np.vstack([g_word[:, None] * made, g_noise.T @ made]))
         steps = [
-            (0, *summed(np.concatenate([word, noise]), np.vstack([g_word[:, None] * made, g_noise.T @ made]))),
+            (0, where, grad[:, :-1]),
+            (3, where, grad[:, -1]),
             (1, *summed(np.concatenate([far, near]), np.vstack([g_made * p.scale[0], g_made * p.scale[1]]))),
-            (2, slice(None), scale),
-            (3, *summed(np.concatenate([word, noise]), np.concatenate([g_word, g_noise.sum(0)]))),
+            (2, slice(None), np.stack([np.einsum("ij,ij->j", g_made, q_far), np.einsum("ij,ij->j", g_made, q_near)])),
         ]
         for k, where, grad in steps:
-            grad = grad / len(pick)
             memory[k][where] += grad * grad
             getattr(p, Params.NAMES[k])[where] -= rate * grad / np.sqrt(memory[k][where] + 1e-8)
 
@@ -148,9 +156,20 @@ def triples_of(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, held_out, part), written: the documents of a part share a dictionary when they are scored."""
+    """(doc_id, text, held_out, part), written: the documents of a part share a dictionary when they are scored, so a part has bounded rows and bytes."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (id_crc(id_col) % 7 == 2).alias("held_out"))
-    return materialize(own.withColumn("part", F.shiftright(F.monotonically_increasing_id(), 13)), "grouped")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, rows, size = (context.partitionId() if context else 0) << 24, 0, 0
+        for b in batches:
+            if rows >= GROUP_DOCS or size >= GROUP_BYTES:
+                part, rows, size = part + 1, 0, 0
+            rows, size = rows + b.num_rows, size + b.column(1).nbytes
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part))], names=["doc_id", "text", "held_out", "part"])
+
+    return materialize(own.mapInArrow(run, "doc_id long, text string, held_out boolean, part long"), "grouped")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -169,8 +188,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for text, out, part in zip(*(b.column(i).to_pylist() for i in range(3))):
                 counts = held.setdefault(part, Counter())
                 if out:
-                    for w in tokens(text):
-                        counts[w] += 0
+                    for w in set(tokens(text)):
+                        counts.setdefault(w, 0)
                 else:
                     counts.update(tokens(text))
             if len(held) > 1 or sum(map(len, held.values())) > HELD_WORDS:
@@ -206,7 +225,7 @@ def train(docs: DataFrame, share: np.ndarray, classes: Classes) -> Params:
                     step()
         step()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([(p.flat() * total).tobytes()], pa.binary()), pa.array([total])], names=["sum", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([(p.flat().astype(float) * total).tobytes()], pa.binary()), pa.array([total])], names=["sum", "n"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = np.zeros(size), 0
@@ -227,7 +246,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     own = grouped(docs, id_col, text_col)
     words = materialize(word_counts(own), "words")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
+    counts = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     totals = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, n_distinct = int(totals[0]), int(totals[1])
     top = counts.where("c > 0 and length(word) > 0").orderBy(F.desc("c"), "word").limit(CLASSES - ENDINGS - 3).collect()
@@ -254,7 +273,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flat = params.flat()
     shape = params
 
-    dictionary = words.select("part", "word").distinct().join(counts, "word").select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"), "word", "c")
+    dictionary = words.select("part", "word").join(counts, "word").select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"), "word", "c")
     texts = own.select("part", F.lit(1).alias("kind"), "doc_id", "text", "held_out", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"))
     met = texts.unionByName(dictionary).repartition(max(shuffle_parts(spark), 2), "part").sortWithinPartitions("part", "kind").select("part", "kind", "doc_id", "text", "held_out", "word", "c")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -268,14 +287,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ready = False
         for b in batches:
             rows: list[tuple] = []
-            to, kind = b.column(0).to_pylist(), b.column(1).to_pylist()
-            docs_, texts_, outs, words_, cs = (b.column(i).to_pylist() for i in range(2, 7))
-            for i in range(len(to)):
-                if to[i] != part:
-                    part, place, count, ready = to[i], {}, [], False
-                if kind[i] == 0:
-                    place[words_[i]] = len(count)
-                    count.append(cs[i])
+            to, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            # runs of one part and kind: words with their counts, then the part's documents
+            cuts = [0, *(np.flatnonzero((to[1:] != to[:-1]) | (kind[1:] != kind[:-1])) + 1), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                run_ = b.slice(lo, hi - lo)
+                if to[lo] != part:
+                    part, place, count, ready = to[lo], {}, [], False
+                if kind[lo] == 0:
+                    for w, c in zip(run_.column(5).to_pylist(), run_.column(6).to_pylist()):
+                        if place.setdefault(w, len(count)) == len(count):  # a word may come more than once
+                            count.append(c)
                     continue
                 if not ready:
                     c = np.asarray(count, float)
@@ -283,11 +307,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     c_class = np.asarray(classes.of(place), np.int64)
                     c_inner = np.where(alone[c_class], 0.0, np.log10(c + 1) - inner_log[c_class])
                     known, ready = c > 0, True
-                at = np.asarray([place[w] for w in tokens(texts_[i])], np.int64)
-                line = np.concatenate([[BEGIN, BEGIN], c_class[at]])
-                two, one, word = line[:-2], line[1:-1], line[2:]
-                logs = far[two, word].astype(float) + near[one, word] - norm[two, one]
-                rows.append((docs_[i], outs[i], len(at), int(known[at].sum()), n_all, float(c_log[at].sum()), float(logs.sum() / np.log(10) + c_inner[at].sum())))
+                for doc, text, out in zip(*(run_.column(i).to_pylist() for i in (2, 3, 4))):
+                    at = np.asarray(list(map(place.__getitem__, tokens(text))), np.int64)
+                    line = np.concatenate([[BEGIN, BEGIN], c_class[at]])
+                    two, one, word = line[:-2], line[1:-1], line[2:]
+                    logs = far[two, word].astype(float) + near[one, word] - norm[two, one]
+                    rows.append((doc, out, len(at), int(known[at].sum()), n_all, float(c_log[at].sum()), float(logs.sum() / np.log(10) + c_inner[at].sum())))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
