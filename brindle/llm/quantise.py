@@ -23,9 +23,9 @@ from .common import documents, materialize, small_batches
 
 #: Vectors that the codebooks are fitted to, at most; chosen by a hash of the id.
 SAMPLE = 16384
-BOOKS, WORDS, BEAM = 8, 256, 6
+BOOKS, WORDS, BEAM = 12, 256, 6
 #: Candidates of a block of rows that are reranked for each query, and rows and queries of a block.
-SHORTLIST, ROW_BLOCK, QUERY_BLOCK = 200, 8192, 512
+SHORTLIST, ROW_BLOCK, QUERY_BLOCK = 400, 8192, 512
 
 
 def nearest_word(x: np.ndarray, c: np.ndarray, lot: int = 2048) -> np.ndarray:
