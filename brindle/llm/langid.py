@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc, small_batches
+from .common import documents, id_crc, released, small_batches
 
 BITS = 15
 #: Labelled rows for the fit, at most about so many a label, chosen by a hash of the id.
@@ -148,7 +148,7 @@ def train(docs: DataFrame, text_col: str, label_col: str, key: str, sample: int
 
     # sums of sums, each read as a stream: neither a task nor the driver holds more than one vector
     schema = "df binary, n long, label array<string>, count array<long>"
-    parts = labelled.select("text", "label").mapInArrow(frequencies, schema).repartition(8).mapInArrow(added, schema).collect()
+    parts = labelled.select("text", "label").mapInArrow(released(frequencies), schema).repartition(8).mapInArrow(added, schema).collect()
     df, n, by = np.zeros(1 << BITS, np.int64), 0, {}
     for r in parts:
         df += np.frombuffer(r["df"], np.int64)
@@ -169,7 +169,7 @@ def train(docs: DataFrame, text_col: str, label_col: str, key: str, sample: int
             found = [features(t, idf) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array([a.astype(np.uint16).tobytes() for a, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], names=["key", "label", "at", "value"])
 
-    got = labelled.where(chosen).mapInArrow(vectors, "key long, label string, at binary, value binary").collect()
+    got = labelled.where(chosen).mapInArrow(released(vectors), "key long, label string, at binary, value binary").collect()
     rows = sorted((r["key"], code[r["label"]], r["at"], r["value"]) for r in got)
     rows = [(k, np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(float), y) for k, y, a, v in rows]
     held = [r[1:] for r in rows if r[0] // 7 % 5 == 0]
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k for k, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields)
-    return keep.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return keep.mapInArrow(released(run), f"{schema}, lang_pred string, score double")
 
 
 def fit_documents(docs: DataFrame) -> Model:

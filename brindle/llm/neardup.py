@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, doc_shingles, documents, has_rows, materialize, mix64, signed, shuffle_parts, small_batches
+from .common import U64, doc_shingles, documents, has_rows, materialize, mix64, released, signed, shuffle_parts, small_batches
 from .components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -120,7 +120,7 @@ def sketch_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
 
     schema = "at long, counts binary"
     total, n = np.zeros(CELLS, np.int64), 0
-    for r in docs.mapInArrow(count, schema).repartition(min(16, shuffle_parts(spark)), "at").mapInArrow(added, schema).collect():
+    for r in docs.mapInArrow(released(count), schema).repartition(min(16, shuffle_parts(spark)), "at").mapInArrow(added, schema).collect():
         c = np.frombuffer(r["counts"], np.int64)
         if r["at"] < 0:
             n += int(c[0])
@@ -166,7 +166,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, width: int) -> DataFrame:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["key", "weight", "bands", "samples"])
 
-    return docs.mapInArrow(run, "key long, weight double, bands array<long>, samples binary").dropDuplicates(["key"])
+    return docs.mapInArrow(released(run), "key long, weight double, bands array<long>, samples binary").dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, width: int, similarity: float) -> DataFrame:
@@ -185,7 +185,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, width: int, si
                 ok[i] = weighted_jaccard(last[1], theirs[i]) >= similarity
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)[ok]), pa.array(np.asarray(b, np.int64)[ok])], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(released(run), "a long, b long")
 
 
 def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -314,14 +314,14 @@ def text_components(docs: DataFrame, width: int, similarity: float) -> DataFrame
     open_rows = materialize(shared.select("bucket", "band", "key").join(several.select("bucket"), "bucket", "left_semi"), "open")
     if has_rows(open_rows):
         keys = open_rows.select("key").distinct()
-        likely = materialize(in_blocks(open_rows, sigs, classed(keys, "key", "class")).mapInArrow(lambda it: likely_pairs(it, similarity), "a long, b long"), "likely")
+        likely = materialize(in_blocks(open_rows, sigs, classed(keys, "key", "class")).mapInArrow(released(lambda it: likely_pairs(it, similarity)), "a long, b long"), "likely")
         more = materialize(verified(likely.where("b is not null"), texts, idf, width, similarity), "links")
         edges = edges.unionByName(more)
         own = materialize(components(edges), "classes")
         asked = likely.where("b is null").select(F.col("a").alias("key")).distinct()
         if has_rows(asked):
             rows = asked_in_blocks(open_rows, asked, sigs, classed(keys, "key", "class"), texts)
-            more = materialize(rows.mapInArrow(lambda it: exact_links(it, idf, width, similarity), "a long, b long"), "links")
+            more = materialize(rows.mapInArrow(released(lambda it: exact_links(it, idf, width, similarity)), "a long, b long"), "links")
             own = materialize(components(edges.unionByName(more)), "classes")
     return own.select(F.col("node").alias("key"), F.col("component").alias("class"))
 
