@@ -88,7 +88,7 @@ def pack_items(items: list[tuple[int, int]], capacity: int, segments: int, loss:
 
 
 def fill(bins: list[list[list[int]]], capacity: int, segments: int, loss: int) -> tuple[list[list[list[int]]], list[list[int]]]:
-    """Full bins, and the pieces left over: room is filled by pieces cut from the emptiest bins. A piece: item, start, length, loss tokens before its end of the item are its own (all tokens of an item bear loss alike)."""
+    """Filled bins, and the pieces left over: room is filled by pieces cut from the emptiest bins. A piece: item, start, length, whether its tokens bear loss."""
     bins = sorted(bins, key=lambda b: -sum(p[2] for p in b))
     pool: list[list[int]] = []
     done, lo, hi = [], 0, len(bins)
