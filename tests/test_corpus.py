@@ -14,14 +14,6 @@ from brindle.sources.snapshot import POINTER, Identity, IndexSnapshot, Status, V
 from brindle.streaming.ingest import Ingest, read_versions
 
 
-def tree(root, **files):
-    for name, content in files.items():
-        p = root / name.replace("__", "/")
-        p.parent.mkdir(parents=True, exist_ok=True)
-        p.write_bytes(content)
-    return str(root)
-
-
 def corpus(root):
     for name, content in {"web/b_second.MD": b"two\r\nlines", "web/a_first.txt": "堆溢出 first".encode(), "pwn/c third+.md": b"ret2libc base", "pwn/ignored.exe": b"x", "pwn/empty.md": b"", "_hidden.md": b"hidden text", ".md": b"no"}.items():
         p = root / name
