@@ -7,8 +7,9 @@ token's log-probability is exactly normalised. The most frequent words are class
 others share a class with the words of the same ending, if the ending is frequent, or else UNKNOWN.
 Inside a shared class a word has its add-one share of the class's count, and so have unseen words.
 
-Counts cover every training token. Each partition trains one pass over its own tokens from the same
-start, and the partitions' parameters are averaged by their tokens.
+Texts are read once: the documents of a part share a dictionary, and from then on are numbers of its
+words. Counts cover every training token. Training goes over the training tokens once, in ROUNDS; in
+each, every task starts from the last average and its parameters are averaged by tokens again.
 
 Defined results: a null text is empty and has its end token alone; a null id counts as an empty text
 for the hold-out rule; repeated rows count and are scored one by one; an empty table gives an empty
@@ -17,26 +18,23 @@ result; without training tokens every count is 0; further columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, id_crc, materialize, shuffle_parts, small_batches
 
 #: Classes of the model, with UNKNOWN, END and BEGIN, and those of endings among them; bytes of an ending; width of a word's vector.
-CLASSES, ENDINGS, TAIL, WIDTH = 1024, 256, 3, 32
+CLASSES, ENDINGS, TAIL, WIDTH = 2048, 512, 3, 32
 UNKNOWN, END, BEGIN = 0, 1, 2
-#: Documents and bytes, about, that share one dictionary of counts when they are scored.
-GROUP_DOCS, GROUP_BYTES = 8192, 32_000_000
-#: Distinct words that a counting task holds before it hands them on.
-HELD_WORDS = 400_000
-#: Training tokens whose word triples are summed up at once, triples of a step, noise words of a step; and steps that a lot of few distinct triples has at least.
-TRAIN_TOKENS, STEP, NOISE, LEAST_STEPS = 1 << 21, 2048, 64, 200
+#: Documents and tokens, about, of a part, which share a dictionary.
+GROUP_DOCS, GROUP_TOKENS = 8192, 1 << 21
+#: Tokens and noise words of a training step, its rate, and how often parameters are averaged in the one pass over the corpus.
+STEP, NOISE, RATE, ROUNDS = 512, 64, 0.15, 2
 END_WORD = b""
 
 
@@ -47,17 +45,12 @@ def tokens(text: str | None) -> list[bytes]:
     return found
 
 
-class Classes:
-    """The class of a word: its own, its ending's, or UNKNOWN; and what is known of the shared classes."""
+class Words(dict):
+    """Numbers of words, given as they come."""
 
-    def __init__(self, words: list[bytes], endings: list[bytes]):
-        self.own = {END_WORD: END} | {w: i + 3 for i, w in enumerate(words)}
-        self.ending = {e: i + 3 + len(words) for i, e in enumerate(endings)}
-        self.size = 3 + len(words) + len(endings)
-
-    def of(self, words) -> list[int]:
-        own, ending = self.own.get, self.ending.get
-        return [own(w) or ending(w[-TAIL:], UNKNOWN) for w in words]
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Params:
@@ -89,15 +82,13 @@ class Params:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by (word two back, word), by (word one back, word) with the bias, and log-normalisers by (two back, one back)."""
-        context, target = self.context.astype(float), self.target.astype(float)
-        far, near = (context * self.scale[0]) @ target.T, (context * self.scale[1]) @ target.T
-        bias = self.bias.astype(float)
+        far, near = (self.context * self.scale[0]) @ self.target.T, (self.context * self.scale[1]) @ self.target.T
+        bias = self.bias.copy()
         bias[BEGIN] = -np.inf  # never a target
         top_far, top_near = far.max(1), (near + bias).max(1)
         z = np.exp(far - top_far[:, None]) @ np.exp(near + bias - top_near[:, None]).T
         norm = np.log(z) + top_far[:, None] + top_near[None, :]
-        near = near + self.bias
-        return far.astype(np.float32), near.astype(np.float32), norm.astype(np.float32)
+        return far, near + self.bias, norm
 
 
 def summed(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,15 +98,14 @@ def summed(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return index[at], np.add.reduceat(grad, at)
 
 
-def train_nce(p: Params, share: np.ndarray, triples: np.ndarray, weight: np.ndarray, rng: np.random.Generator, memory: list[np.ndarray], rate: float = 0.05) -> None:
-    """Adagrad steps over word triples (n x 3: two back, one back, word), in place: one pass, or more where they are few."""
+def train_nce(p: Params, share: np.ndarray, triples: np.ndarray, weight: np.ndarray, rng: np.random.Generator, memory: list[np.ndarray], rate: float = RATE, step: int = STEP) -> None:
+    """One pass of Adagrad steps over word triples (n x 3: two back, one back, word), in place."""
     weight = weight.astype(p.target.dtype)
     noise_log = (np.log(np.maximum(share, 1e-12)) + np.log(NOISE)).astype(p.target.dtype)
     cdf = np.cumsum(share)
-    passes = max(1, -(-LEAST_STEPS // max(1, -(-len(triples) // STEP))))
-    order = np.concatenate([rng.permutation(len(triples)) for _ in range(passes)])
-    for at in range(0, len(order), STEP):
-        pick = order[at : at + STEP]
+    order = rng.permutation(len(triples))
+    for at in range(0, len(order), step):
+        pick = order[at : at + step]
         far, near, word = triples[pick].T
         g_weight = (weight[pick] / weight[pick].mean()) if len(pick) else weight[pick]
         q_far, q_near = p.context[far], p.context[near]
@@ -144,179 +134,198 @@ def train_nce(p: Params, share: np.ndarray, triples: np.ndarray, weight: np.ndar
             getattr(p, Params.NAMES[k])[where] -= rate * grad / np.sqrt(memory[k][where] + 1e-8)
 
 
-def triples_of(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct triples of classes and how often each stands in the documents."""
-    pad = np.asarray([BEGIN, BEGIN], np.int64)
-    codes = []
-    for c in lines:
-        line = np.concatenate([pad, c])
-        codes.append((line[:-2] * CLASSES + line[1:-1]) * CLASSES + line[2:])
-    found, n = np.unique(np.concatenate(codes), return_counts=True)
-    return np.stack([found // CLASSES**2, found // CLASSES % CLASSES, found % CLASSES], 1), n.astype(float)
+_PART = "part long, local int, word binary, n long, doc_ids array<long>, held array<boolean>, sizes array<int>, ids binary"
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, held_out, part), written: the documents of a part share a dictionary when they are scored, so a part has bounded rows and bytes."""
+def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Written: for each part one row of its documents (doc_ids, held, sizes, ids: numbers of its words, one after another), and a row for each of its words (local number, word, n in training documents)."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (id_crc(id_col) % 7 == 2).alias("held_out"))
+    names = [c.split()[0] for c in _PART.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
+
+    def batch(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in zip(names, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part, rows, size = (context.partitionId() if context else 0) << 24, 0, 0
-        for b in batches:
-            if rows >= GROUP_DOCS or size >= GROUP_BYTES:
-                part, rows, size = part + 1, 0, 0
-            rows, size = rows + b.num_rows, size + b.column(1).nbytes
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part))], names=["doc_id", "text", "held_out", "part"])
-
-    return materialize(own.mapInArrow(run, "doc_id long, text string, held_out boolean, part long"), "grouped")
+        part = (context.partitionId() if context else 0) << 24
+        words, lines, ids, held, total = Words(), [], [], [], 0
 
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            nonlocal part, total
+            every = np.concatenate(lines)
+            sizes = np.asarray([len(x) for x in lines], np.int32)
+            seen = np.bincount(every[~np.repeat(np.asarray(held, bool), sizes)], minlength=len(words))
+            yield batch(1, part=[part], doc_ids=[ids], held=[held], sizes=[sizes], ids=[every.tobytes()])
+            found = list(words)
+            for i in range(0, len(found), 1 << 16):
+                cut = slice(i, i + (1 << 16))
+                size = len(found[cut])
+                yield batch(size, part=np.full(size, part), local=np.arange(i, i + size, dtype=np.int32), word=found[cut], n=seen[cut])
+            part, total = part + 1, 0
+            for x in (words, lines, ids, held):
+                x.clear()
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(part, word, n): each part's words and how often its training documents have them."""
-    small_batches(docs.sparkSession)
+        for b in batches:
+            for doc, text, out in zip(*(b.column(i).to_pylist() for i in range(3))):
+                t = tokens(text)
+                lines.append(np.fromiter(map(words.__getitem__, t), np.int32, len(t)))
+                ids.append(doc)
+                held.append(out)
+                total += len(t)
+                if len(ids) >= GROUP_DOCS or total >= GROUP_TOKENS:
+                    yield from hand_on()
+        if ids:
+            yield from hand_on()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {}
+    return materialize(own.mapInArrow(run, _PART), "coded")
 
-        def hand_on() -> Iterator[pa.RecordBatch]:
-            for part, counts in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part)), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["part", "word", "n"])
-            held.clear()
 
-        for b in batches:
-            for text, out, part in zip(*(b.column(i).to_pylist() for i in range(3))):
-                counts = held.setdefault(part, Counter())
-                if out:
-                    for w in set(tokens(text)):
-                        counts.setdefault(w, 0)
-                else:
-                    counts.update(tokens(text))
-            if len(held) > 1 or sum(map(len, held.values())) > HELD_WORDS:
-                yield from hand_on()
-        yield from hand_on()
+class Part:
+    """The tokens of a part's documents as classes, with the two before each."""
 
-    return docs.select("text", "held_out", "part").mapInArrow(run, "part long, word binary, n long")
+    def __init__(self, sizes: np.ndarray, ids: np.ndarray, word_class: np.ndarray):
+        line = np.full(len(ids) + 2 * len(sizes), BEGIN, np.int32)
+        place = np.arange(len(ids)) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+        line[place] = word_class[ids]
+        self.two, self.one, self.word = line[place - 2], line[place - 1], line[place]
 
 
-def train(docs: DataFrame, share: np.ndarray, classes: Classes) -> Params:
-    """One pass over all training documents; partitions' parameters are averaged as a stream, by their tokens."""
-    first = Params.start(share)
-    size = len(first.flat())
+def _columns(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(doc ids, held out, sizes, ids, counts and classes of the part's words) of each row."""
+    for doc_ids, held, sizes, ids, c, cls in zip(*(b.column(i) for i in range(6))):
+        yield doc_ids.as_py(), held.as_py(), np.asarray(sizes.as_py(), np.int64), np.frombuffer(ids.as_py(), np.int32), np.frombuffer(c.as_py(), np.int64), np.frombuffer(cls.as_py(), np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, memory = first.like(first.flat()), [np.zeros_like(getattr(first, n)) for n in Params.NAMES]
-        rng = np.random.default_rng(19)
-        lines, waiting, total = [], 0, 0
-
-        def step() -> None:
-            nonlocal waiting, total
-            if lines:
-                train_nce(p, share, *triples_of(lines), rng, memory)
-            total += waiting
-            waiting = 0
-            lines.clear()
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                lines.append(np.asarray(classes.of(tokens(text)), np.int64))
-                waiting += len(lines[-1])
-                if waiting >= TRAIN_TOKENS:
-                    step()
-        step()
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([(p.flat().astype(float) * total).tobytes()], pa.binary()), pa.array([total])], names=["sum", "n"])
+def train(parts: DataFrame, share: np.ndarray, rate: float = RATE, step: int = STEP, rounds: int = ROUNDS) -> Params:
+    """One pass over all training tokens, in rounds; in each the tasks' parameters are averaged as a stream, by their tokens."""
+    now = Params.start(share)
+    size = len(now.flat())
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = np.zeros(size), 0
         for b in batches:
             for s, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out += np.frombuffer(s)
+                out += np.frombuffer(s, np.float32).astype(float) * m
                 n += m
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([n])], names=["sum", "n"])
 
     schema = "sum binary, n long"
-    parts = docs.where(~F.col("held_out")).select("text").mapInArrow(run, schema).repartition(8).mapInArrow(added, schema).collect()
-    n = sum(r["n"] for r in parts)
-    return first.like(sum(np.frombuffer(r["sum"]) for r in parts) / n) if n else first
+    for r in range(rounds):
 
+        def run(batches: Iterator[pa.RecordBatch], first: Params = now, seed: int = 19 + r) -> Iterator[pa.RecordBatch]:
+            p, memory = first.like(first.flat()), [np.zeros_like(getattr(first, n)) for n in Params.NAMES]
+            rng = np.random.default_rng(seed)
+            total = 0
+            for b in batches:
+                for _, held, sizes, ids, _, cls in _columns(b):
+                    part = Part(sizes, ids, cls)
+                    own = np.flatnonzero(~np.repeat(np.asarray(held, bool), sizes))
+                    if len(own):
+                        train_nce(p, share, np.stack([part.two[own], part.one[own], part.word[own]], 1), np.ones(len(own)), rng, memory, rate, step)
+                    total += len(own)
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([p.flat().tobytes()], pa.binary()), pa.array([total])], names=["sum", "n"])
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        chosen = parts.where(F.pmod(F.xxhash64("part"), F.lit(rounds)) == r).drop("part")
+        sums = chosen.mapInArrow(run, schema).repartition(8).mapInArrow(added, schema).collect()
+        n = sum(x["n"] for x in sums)
+        if n:
+            now = now.like((sum(np.frombuffer(x["sum"]) for x in sums) / n).astype(np.float32))
+    return now
+
+
+_tables: list[tuple] = []  # of the last parameters that this worker has seen
+
+
+def tables_of(shape: Params, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key = flat.tobytes()
+    if not _tables or _tables[0][0] != key:
+        _tables[:] = [(key, shape.like(flat).tables())]
+    return _tables[0][1]
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_classes: int = CLASSES, n_endings: int = ENDINGS, rate: float = RATE, step: int = STEP, rounds: int = ROUNDS) -> DataFrame:
     spark = docs.sparkSession
+    parts = coded(docs, id_col, text_col)
     small_batches(spark)
-    own = grouped(docs, id_col, text_col)
-    words = materialize(word_counts(own), "words")
-    counts = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    totals = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    n_all, n_distinct = int(totals[0]), int(totals[1])
-    top = counts.where("c > 0 and length(word) > 0").orderBy(F.desc("c"), "word").limit(CLASSES - ENDINGS - 3).collect()
-    ends = counts.where("length(word) = 0").first()
-    rest = counts.where("c > 0 and length(word) > 0").join(F.broadcast(spark.createDataFrame([(r["word"],) for r in top], "word binary")), "word", "left_anti")
+    # a word's count stands at each of its rows, and one row a word is marked
+    of_word = Window.partitionBy("word")
+    words = parts.where("word is not null").select("part", "local", "word", "n")
+    words = materialize(words.select("part", "local", "word", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("part")) == 1).alias("mark")), "words")
+    counts = words.where("mark and c > 0")
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
+    n_all, n_distinct, n_end = map(int, totals)
+    top = counts.where("length(word) > 0").orderBy(F.desc("c"), "word").limit(n_classes - n_endings - 3).select("word", "c").collect()
+    known = F.broadcast(spark.createDataFrame([(r["word"], i + 3) for i, r in enumerate(top)], "word binary, own int"))
     tail = F.expr(f"substring(word, greatest(length(word) - {TAIL - 1}, 1), {TAIL})")
-    endings = rest.groupBy(tail.alias("tail")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).orderBy(F.desc("c"), "tail").limit(ENDINGS).collect()
-    classes = Classes([bytes(r["word"]) for r in top], [bytes(r["tail"]) for r in endings])
-    share, distinct = np.zeros(classes.size), np.zeros(classes.size)
-    share[END] = ends["c"] if ends else 0
+    rest = counts.where("length(word) > 0").join(known, "word", "left_anti")
+    endings = rest.groupBy(tail.alias("tail")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).orderBy(F.desc("c"), "tail").limit(n_endings).collect()
+    ends = F.broadcast(spark.createDataFrame([(r["tail"], i + 3 + len(top)) for i, r in enumerate(endings)], "tail binary, shared int"))
+    size = 3 + len(top) + len(endings)
+    share, distinct = np.zeros(size), np.zeros(size)
+    share[END] = n_end
     share[3:] = [r["c"] for r in (*top, *endings)]
     share[UNKNOWN] = n_all - share.sum()
     distinct[3 + len(top) :] = [r["v"] for r in endings]
     distinct[UNKNOWN] = n_distinct - len(top) - distinct.sum() - (share[END] > 0)
     # the logarithm of a shared class's tokens, distinct words and one more; 0 marks a class of one word
-    inner_log = np.zeros(classes.size)
-    several = [UNKNOWN, *range(3 + len(top), classes.size)]
+    inner_log = np.zeros(size)
+    several = [UNKNOWN, *range(3 + len(top), size)]
     inner_log[several] = np.log10(share[several] + distinct[several] + 1)
-    alone = np.ones(classes.size, bool)
+    alone = np.ones(size, bool)
     alone[several] = False
-    share = (share + 1) / (n_all + classes.size)
+    share = (share + 1) / (n_all + size)
     share[BEGIN] = 0
-    params = train(own, share, classes)
-    flat = params.flat()
-    shape = params
 
-    dictionary = words.select("part", "word").join(counts, "word").select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"), "word", "c")
-    texts = own.select("part", F.lit(1).alias("kind"), "doc_id", "text", "held_out", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"))
-    met = texts.unionByName(dictionary).repartition(max(shuffle_parts(spark), 2), "part").sortWithinPartitions("part", "kind").select("part", "kind", "doc_id", "text", "held_out", "word", "c")
+    classed = words.withColumn("tail", tail).join(known, "word", "left").join(ends, "tail", "left")
+    classed = classed.select("part", "local", "c", F.when(F.length("word") == 0, END).otherwise(F.coalesce("own", "shared", F.lit(UNKNOWN))).alias("class"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts and classes of a part's words, in the order of their numbers, in one row."""
+        part, c, cls = None, [], []
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.concatenate(c).astype(np.int64).tobytes()], pa.binary()), pa.array([np.concatenate(cls).astype(np.int32).tobytes()], pa.binary())], names=["part", "c", "class"])
+
+        for b in batches:
+            to, counts_, classes_ = (b.column(i).to_numpy() for i in (0, 2, 3))
+            cuts = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1), len(to)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    if part is not None and to[lo] != part:
+                        yield row()
+                        c, cls = [], []
+                    part = int(to[lo])
+                    c.append(counts_[lo:hi])
+                    cls.append(classes_[lo:hi])
+        if part is not None:
+            yield row()
+
+    dictionary = classed.repartition(shuffle_parts(spark), "part").sortWithinPartitions("part", "local").mapInArrow(packed, "part long, c binary, class binary")
+    lines = parts.where("word is null").select("part", "doc_ids", "held", "sizes", "ids")
+    whole = materialize(lines.join(dictionary, "part").select("doc_ids", "held", "sizes", "ids", "c", "class", "part"), "parts")
+    flat = train(whole, share, rate, step, rounds).flat()
+    shape = Params.start(share)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     base_log = np.log10(n_all + n_distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far, near, norm = shape.like(flat).tables()
-        part, place, count = None, {}, []
-        c_log, c_class, c_inner = np.zeros(0), np.zeros(0, np.int64), np.zeros(0)
-        ready = False
         for b in batches:
-            rows: list[tuple] = []
-            to, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            # runs of one part and kind: words with their counts, then the part's documents
-            cuts = [0, *(np.flatnonzero((to[1:] != to[:-1]) | (kind[1:] != kind[:-1])) + 1), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                run_ = b.slice(lo, hi - lo)
-                if to[lo] != part:
-                    part, place, count, ready = to[lo], {}, [], False
-                if kind[lo] == 0:
-                    for w, c in zip(run_.column(5).to_pylist(), run_.column(6).to_pylist()):
-                        if place.setdefault(w, len(count)) == len(count):  # a word may come more than once
-                            count.append(c)
-                    continue
-                if not ready:
-                    c = np.asarray(count, float)
-                    c_log = np.log10(c + 1) - base_log
-                    c_class = np.asarray(classes.of(place), np.int64)
-                    c_inner = np.where(alone[c_class], 0.0, np.log10(c + 1) - inner_log[c_class])
-                    known, ready = c > 0, True
-                for doc, text, out in zip(*(run_.column(i).to_pylist() for i in (2, 3, 4))):
-                    at = np.asarray(list(map(place.__getitem__, tokens(text))), np.int64)
-                    line = np.concatenate([[BEGIN, BEGIN], c_class[at]])
-                    two, one, word = line[:-2], line[1:-1], line[2:]
-                    logs = far[two, word].astype(float) + near[one, word] - norm[two, one]
-                    rows.append((doc, out, len(at), int(known[at].sum()), n_all, float(c_log[at].sum()), float(logs.sum() / np.log(10) + c_inner[at].sum())))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    return met.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            for doc_ids, held, sizes, ids, c, cls in _columns(b):
+                far, near, norm = tables_of(shape, flat)
+                part = Part(sizes, ids, cls)
+                count_log = np.log10(c + 1.0)
+                inner = np.where(alone[cls], 0.0, count_log - inner_log[cls])
+                logs = (far[part.two, part.word].astype(float) + near[part.one, part.word] - norm[part.two, part.one]) / np.log(10) + inner[ids]
+                starts = np.cumsum(sizes) - sizes  # each document has its end token at least
+                by_doc = [np.add.reduceat(x, starts) for x in ((c > 0)[ids].astype(np.int64), count_log[ids] - base_log, logs)]
+                rows = [doc_ids, held, sizes, by_doc[0], np.full(len(sizes), n_all), *by_doc[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
+
+    return whole.drop("part").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_lm_score(spark, sf_dir: str) -> DataFrame:

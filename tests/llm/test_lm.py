@@ -78,6 +78,55 @@ def test_step_gradient_lowers_the_nce_loss():
     assert np.mean([near[w].argmax() == (w + 1) % 20 for w in range(20) if w != lm.BEGIN and (w + 1) % 20 != lm.BEGIN]) > 0.9
 
 
-def test_classes():
-    c = lm.Classes([b"the", b"of"], [b"ing"])
-    assert c.of([b"the", b"", b"sing", b"xx", b"of"]) == [3, lm.END, 5, lm.UNKNOWN, 4] and c.size == 6
+def test_scores_are_the_models_token_by_token(spark, monkeypatch):
+    """score, summed up anew over each text: class by its definition, exact normaliser over all classes, add-one share inside a class."""
+    held = {}
+    real = lm.train
+    monkeypatch.setattr(lm, "train", lambda parts, share, *a: held.setdefault("params", real(parts, share, *a)))
+    docs, rows = odd_documents(spark, 120)
+    got = lm.score_documents(docs, n_classes=60, n_endings=20).collect()
+    p = held["params"]
+    counts = Counter()
+    for r in rows:
+        if crc(r[0]) % 7 != 2:
+            counts.update(lm.tokens(r[1]))
+    words = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[: 60 - 20 - 3]
+    tails, kinds = Counter(), Counter()
+    for w in counts:
+        if w and w not in words:
+            tails[w[-3:]] += counts[w]
+            kinds[w[-3:]] += 1
+    endings = sorted(tails, key=lambda e: (-tails[e], e))[:20]
+    own = {w: i + 3 for i, w in enumerate(words)} | {b"": lm.END}
+    shared = {e: i + 3 + len(words) for i, e in enumerate(endings)}
+    of = lambda w: own.get(w, shared.get(w[-3:], lm.UNKNOWN))
+    tokens_in, distinct_in = Counter(), Counter()
+    for w in counts:
+        tokens_in[of(w)] += counts[w]
+        distinct_in[of(w)] += 1
+    alone = set(own.values())
+    legal = np.arange(3 + len(words) + len(endings)) != lm.BEGIN
+    want = {}
+    for doc, text, *_ in rows:
+        two = one = lm.BEGIN
+        total = 0.0
+        for w in lm.tokens(text):
+            made = p.context[two] * p.scale[0] + p.context[one] * p.scale[1]
+            logits = p.target.astype(float) @ made + p.bias
+            k = of(w)
+            total += (logits[k] - np.log(np.exp(logits[legal]).sum())) / math.log(10)
+            if k not in alone:
+                total += math.log10((counts[w] + 1) / (tokens_in[k] + distinct_in[k] + 1))
+            two, one = one, k
+        want.setdefault(doc, []).append(total)
+    for r in got:
+        assert any(r.score == pytest.approx(w, rel=1e-4, abs=1e-3) for w in want[r.doc_id])
+
+
+def test_small_parts_score_alike(spark, monkeypatch):
+    docs, _ = odd_documents(spark, 100)
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score"]
+    whole = sorted(map(str, (tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in lm.score_documents(docs).select(columns).collect())))
+    monkeypatch.setattr(lm, "GROUP_DOCS", 7)
+    parted = lm.score_documents(docs.repartition(3)).select(columns).collect()
+    assert sorted(map(str, (tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in parted))) == whole
