@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -36,6 +37,8 @@ def workspace(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -49,6 +52,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """df written once, dealt by key: joins on the key move the other side alone. The table goes when the block ends."""
+    spark = df.sparkSession
+    n, name = shuffle_parts(spark), f"brindle_{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/brindle/{name}"
+    df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark, path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of intermediate tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        there = jvm.org.apache.hadoop.fs.Path(p)
+        there.getFileSystem(conf).delete(there, True)
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for these tables."""
+    for t in tables:
+        files = t.inputFiles()
+        if files:
+            discard(t.sparkSession, files[0].rsplit("/", 2)[0])
+
+
 def released(run):
     """run, giving memory back to the system when a task's stream ends: idle workers stay, and share the executor with what comes next."""
 

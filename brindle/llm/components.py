@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import done_with, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
     while True:
-        e = materialize(_stars(_stars(e, True), False), "stars")
+        before, e = e, materialize(_stars(_stars(e, True), False), "stars")
+        done_with(before)
         # a star forest: no node has two edges up, and no target has an edge of its own
         split = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
         if split and e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_semi").isEmpty():
