@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc, materialize, shuffle_parts, small_batches
+from .common import documents, done_with, id_crc, materialize, released, shuffle_parts, small_batches
 
 #: Classes of the model, with UNKNOWN, END and BEGIN, and those of endings among them; bytes of an ending; width of a word's vector.
 CLASSES, ENDINGS, TAIL, WIDTH = 2048, 512, 3, 32
@@ -34,7 +34,7 @@ UNKNOWN, END, BEGIN = 0, 1, 2
 #: Documents and tokens, about, of a part, which share a dictionary.
 GROUP_DOCS, GROUP_TOKENS = 8192, 1 << 21
 #: Tokens and noise words of a training step, its rate, and how often parameters are averaged in the one pass over the corpus.
-STEP, NOISE, RATE, ROUNDS = 512, 64, 0.15, 2
+STEP, NOISE, RATE, ROUNDS = 1024, 64, 0.15, 2
 END_WORD = b""
 
 
@@ -179,7 +179,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if ids:
             yield from hand_on()
 
-    return materialize(own.mapInArrow(run, _PART), "coded")
+    return materialize(own.mapInArrow(released(run), _PART), "coded")
 
 
 class Part:
@@ -229,7 +229,7 @@ def train(parts: DataFrame, share: np.ndarray, rate: float = RATE, step: int = S
                 yield pa.RecordBatch.from_arrays([pa.array([p.flat().tobytes()], pa.binary()), pa.array([total])], names=["sum", "n"])
 
         chosen = parts.where(F.pmod(F.xxhash64("part"), F.lit(rounds)) == r).drop("part")
-        sums = chosen.mapInArrow(run, schema).repartition(8).mapInArrow(added, schema).collect()
+        sums = chosen.mapInArrow(released(run), schema).repartition(8).mapInArrow(added, schema).collect()
         n = sum(x["n"] for x in sums)
         if n:
             now = now.like((sum(np.frombuffer(x["sum"]) for x in sums) / n).astype(np.float32))
@@ -303,9 +303,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if part is not None:
             yield row()
 
-    dictionary = classed.repartition(shuffle_parts(spark), "part").sortWithinPartitions("part", "local").mapInArrow(packed, "part long, c binary, class binary")
+    dictionary = classed.repartition(shuffle_parts(spark), "part").sortWithinPartitions("part", "local").mapInArrow(released(packed), "part long, c binary, class binary")
     lines = parts.where("word is null").select("part", "doc_ids", "held", "sizes", "ids")
     whole = materialize(lines.join(dictionary, "part").select("doc_ids", "held", "sizes", "ids", "c", "class", "part"), "parts")
+    done_with(parts, words)
     flat = train(whole, share, rate, step, rounds).flat()
     shape = Params.start(share)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -325,7 +326,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows = [doc_ids, held, sizes, by_doc[0], np.full(len(sizes), n_all), *by_doc[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
 
-    return whole.drop("part").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return whole.drop("part").mapInArrow(released(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_lm_score(spark, sf_dir: str) -> DataFrame:
