@@ -2,11 +2,13 @@
 
 Tags are read into a tree. Each paragraph passes points for its length and commas to its ancestors,
 less at each step up; a container's points are discounted by its link density. The best container is
-kept with those siblings that score nearly as well; what is known as furniture (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) is left out.
+kept with its siblings: beside an article, those that score nearly as well; beside another container,
+all whose text is not mostly links. What is known as furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, comments) is left out.
 
 Defined results: a null or empty page has an empty text; a page without tags is one block; unclosed
-and unmatched tags are closed by the nearest rule and never fail; nesting is walked without recursion;
+and unmatched tags are closed by the nearest rule and never fail, a tag without its ">" takes the rest
+of the page; reading takes time in proportion to the page; nesting is walked without recursion;
 repeated rows are read one by one; further columns pass through `extract`, and its results replace
 columns of the same names.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import documents, small_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
+# every part is possessive and a tag that never ends takes the rest of the page, so reading is linear; quotes hold a value together after "=" alone
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _SPACE = re.compile(r"[\s\x00]+")
 # elements of HTML, by what they do to the tree and the text: fixed values
@@ -36,6 +40,8 @@ CLOSES = {"dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td
 CONTAINER = {"article", "body", "div", "main", "section", "td", "blockquote", "html", "center", "dd", "li", "figure", "pre"}
 # words of class, id and role values that name furniture: fixed values
 FURNITURE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "cookie", "cookies", "consent", "gdpr", "dialog", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "subscribe", "toc", "toolbar", "widget", "complementary", "contentinfo", "alert", "hidden"}
+#: A part of a text that is mostly links.
+LINKS = 0.5
 OWN = {"article", "post", "entry", "story", "content"}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -49,12 +55,10 @@ class Node:
         self.points, self.text, self.linked = 0.0, 0, 0
 
 
-def furniture(tag: str, attrs: str, parent: Node) -> bool:
+def furniture(tag: str, attrs: str) -> bool:
     """Whether an element is left out by its own name or names given to it."""
     if tag in DROP:
         return True
-    if tag == "header":  # a page's header, not an article's
-        return not within(parent, {"article", "main"})
     if not attrs or tag in ("body", "html", "article", "main"):
         return False
     for name, *value in _ATTR.findall(attrs):
@@ -70,17 +74,18 @@ def furniture(tag: str, attrs: str, parent: Node) -> bool:
     return False
 
 
-def within(node: Node | None, tags: set[str]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def parse(page: str) -> Node:
     root = node = Node("html", None)
     at, n = 0, len(page)
+    opened: Counter[str] = Counter()  # open elements below the root, by tag: what is not open is not looked for
+
+    def leave(to: Node) -> Node:
+        up = node
+        while up is not to:
+            opened[up.tag] -= 1
+            up = up.parent
+        return to
+
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -96,35 +101,33 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up = node
+            up = node if opened[tag] else root
             while up.parent is not None and up.tag != tag:
                 # an end tag of an inline element does not close a block
                 up = None if up.tag in BLOCK and tag not in BLOCK else up.parent
                 if up is None:
                     break
             if up is not None and up.parent is not None and up.tag == tag:
-                node = up.parent
+                node = leave(up.parent)
             elif tag == "p":
                 node.items.append(Node("p", node))
             continue
-        if tag in ("html", "body") and (tag == "html" or within(node, {"body"})):
+        if tag == "html" or tag == "body" and opened["body"]:
             continue
-        if tag in CLOSES_P or tag in SAME:
-            node = closed(node, {"p"} if tag in CLOSES_P else set(), {"table", "td", "th", "button", "article", "section", "div", "li", "blockquote", "body"})
-        if tag in SAME:
-            node = closed(node, CLOSES.get(tag, {tag}), SAME[tag])
+        if tag in CLOSES_P and opened["p"]:
+            node = leave(closed(node, {"p"}, {"table", "td", "th", "button", "article", "section", "div", "li", "blockquote", "body"}))
+        if tag in SAME and any(opened[t] for t in CLOSES.get(tag, {tag})):
+            node = leave(closed(node, CLOSES.get(tag, {tag}), SAME[tag]))
         if tag == "body":
-            while node.parent is not None:
-                node = node.parent
-        child = Node(tag, node, furniture(tag, m[3], node))
+            node = leave(root)
+        child = Node(tag, node, furniture(tag, m[3]) if tag != "header" else not (opened["article"] or opened["main"]))  # a page's header, not an article's
         node.items.append(child)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            node = child
-        elif tag not in VOID and tag in BLOCK | DROP:
+        elif tag not in VOID and (tag in BLOCK or tag in DROP or not m[3].endswith("/")):
             node = child  # a slash closes nothing but a void element
+            opened[tag] += 1
     return root
 
 
@@ -218,17 +221,21 @@ def main_text(page: str | None) -> str:
     while semantic is not None and semantic.tag not in ("article", "main"):
         semantic = semantic.parent
     best = semantic or best
-    kept: list[Node] = [best]
-    if best.parent is not None and best.tag not in ("body", "html"):
-        least = max(10.0, 0.2 * rated.get(id(best), best.points))
-        kept = []
-        for c in best.parent.items:
-            if not isinstance(c, Node) or c.drop:
-                continue
-            density = c.linked / max(c.text, 1)
-            if c is best or rated.get(id(c), 0) >= least or c.tag == "p" and (c.text > 80 and density < 0.25):
-                kept.append(c)
-    return "\n".join(b for c in kept for b in blocks(c))
+    if best.parent is None or best.tag in ("body", "html"):
+        return "\n".join(blocks(best))
+    least = max(10.0, 0.2 * rated.get(id(best), best.points))
+    for c in best.parent.items:
+        if not isinstance(c, Node) or c is best:
+            continue
+        density = c.linked / max(c.text, 1)
+        if semantic is None:
+            c.drop = c.drop or density > LINKS
+        else:
+            c.drop = c.drop or not (rated.get(id(c), 0) >= least or c.tag == "p" and c.text > 80 and density < 0.25)
+    kept = best.parent.items if semantic is None else [c for c in best.parent.items if isinstance(c, Node)]
+    shell = Node("div", None)
+    shell.items = list(kept)
+    return "\n".join(blocks(shell))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
