@@ -191,6 +191,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
+    """docs under names that clash with nothing, those names by the old ones, and the columns that bring the old ones back."""
+    own = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), own, [F.col(n).alias(c) for c, n in own.items()]
+
+
 def id_crc(column: str) -> "F.Column":
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

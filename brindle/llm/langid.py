@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc, released, small_batches
+from .common import documents, id_crc, released, shielded, small_batches
 
 BITS = 15
 #: Labelled rows for the fit, at most about so many a label, chosen by a hash of the id.
@@ -208,6 +208,7 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in a language that the model knows and is sure of."""
-    said = identify(docs, fit_documents(docs))
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """The documents in a language that the model knows and is sure of, with all their columns, whatever those are called."""
+    plain, own, back = shielded(docs)
+    said = identify(plain, fit_documents(docs), own["text"])
+    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*back)

@@ -5,7 +5,7 @@ plus a remaining budget; a bounded-knapsack dynamic program chooses how many doc
 length fill that budget, and a seeded order chooses which documents of a length those are.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own,
-last in order; a source of size 0 has target 0; repeated rows count one by one; an empty table gives
+last in order; a source of size 0 has target 0; repeated rows count one by one, and rows of one id and text are alike to the draw; an empty table gives
 an empty result; further columns of the input pass through, and columns named like the results are
 replaced.
 """
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, shielded
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that the dynamic program fits exactly; larger budgets are first filled by length counts.
@@ -103,7 +103,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs.drop(*[c for c in extra_names if c not in (id_col, text_col, source_col)])
         .withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("~")))
-        .withColumn("draw", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+        .withColumn("draw", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)))
         .withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)).cast("int"))
     )
     # "~" sorts after every "s..." key, so null comes last
@@ -139,6 +139,7 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the mix takes, each as often as it takes it."""
-    mixed = mix_sources(docs).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The rows that the mix takes, each as often as it takes it, with all their columns, whatever those are called."""
+    plain, own, back = shielded(docs)
+    mixed = mix_sources(plain, own["doc_id"], own["text"], own["source"]).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*back)

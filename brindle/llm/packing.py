@@ -218,7 +218,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(lambda it: _pack_partition(it, capacity, max_segments, loss), PIECES)
 
 
-def pack_examples(examples: DataFrame, capacity: int = 2048, max_segments: int = 32, max_loss_tokens: int = 1536, salt_parts: int = 64) -> DataFrame:
+def pack_examples(examples: DataFrame, capacity: int = 2048, max_segments: int = 32, max_loss_tokens: int = 1536) -> DataFrame:
     """Sequences of whole instruction examples: (example_id, tokens, loss_tokens) with limits on tokens, segments and loss tokens.
 
     An example beyond a limit gets a sequence of its own (sequence_id unique, over_limit true). Examples are never cut.
@@ -254,4 +254,5 @@ def op2_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; other columns of the documents do not matter."""
     return pack_documents(docs)

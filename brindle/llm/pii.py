@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, has_rows, materialize
+from .common import documents, has_rows, materialize, shielded
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written without needless retries: a run is tried from its start or the last match's end, and parts that nothing follows are possessive.
@@ -29,8 +29,8 @@ PATTERNS = {
 #: A cheap test that a text can hold the kind at all.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Words at each side of an entity that are looked at, and the characters that may hold them.
-NEAR_WORDS, NEAR_CHARS = 8, 200
+#: What is near an entity: the whole words of either side, up to so many, within so many characters.
+NEAR_WORDS, NEAR_CHARS = 8, 1000
 #: Distinct texts in which an entity and a term must meet before the counts say anything.
 SUPPORT = 3
 #: Disclosure (part of the entity's information) from which a term is generalised, and removed.
@@ -109,9 +109,12 @@ def revealing_terms(docs: DataFrame, text_col: str, support: int = SUPPORT, near
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
     spans = with_base_spans(keyed, "text").withColumn("span", F.explode(all_base()))
-    words = lambda part: F.filter(F.split(F.lower(part), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
-    before = words(F.substring(F.col("text"), F.greatest(F.col("span.start") - NEAR_CHARS, F.lit(0)) + 1, F.least(F.col("span.start"), F.lit(NEAR_CHARS))))
-    after = words(F.substring(F.col("text"), F.col("span.end") + 1, F.lit(NEAR_CHARS)))
+    words = lambda part: F.filter(F.split(F.lower(part), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    before = F.substring(F.col("text"), F.greatest(F.col("span.start") - NEAR_CHARS, F.lit(0)) + 1, F.least(F.col("span.start"), F.lit(NEAR_CHARS)))
+    after = F.substring(F.col("text"), F.col("span.end") + 1, F.lit(NEAR_CHARS))
+    # a word that the edge may have cut is no whole word
+    before = words(F.when(F.col("span.start") > NEAR_CHARS, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before))
+    after = words(F.when(F.length(after) == NEAR_CHARS, F.regexp_replace(after, r"[\p{L}\p{N}]++$", "")).otherwise(after))
     tail = lambda a: F.slice(a, F.greatest(F.size(a) - near + 1, F.lit(1)), F.lit(near))
     terms = F.array_distinct(F.concat(tail(before), F.slice(after, 1, near)))
     value = F.when(F.col("span.kind") == "email", F.lower("span.value")).otherwise(F.regexp_replace("span.value", "[^0-9.]", ""))
@@ -202,5 +205,7 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = sanitise(docs)
-    return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    """The documents sanitised, n_chars counted anew; all other columns pass, whatever they are called. A null text stays null and has no n_chars."""
+    plain, own, back = shielded(docs)
+    out = sanitise(plain, own["text"])
+    return out.select(*[F.length(own["text"]).cast("long").alias(c) if c == "n_chars" else b for c, b in zip(docs.columns, back)])

@@ -5,7 +5,7 @@ encoded by beam search as a sum of one codeword of each book, with its own norm
 stored; queries score codes by lookup tables of inner products, and the best of each block are
 reranked by exact double-precision inner products of the original vectors.
 
-Defined results: vectors null, of another width than the most common, zero, or with null or
+Defined results: vectors null, of another width than the most common of the rows, zero, or with null or
 non-finite components take no part; fewer candidates than k give fewer rows; ties go to the smaller
 id; repeated rows are candidates one by one, a repeated query id is one query (its least vector); an empty table gives an empty result; further columns are ignored.
 """
@@ -99,12 +99,14 @@ def exact_dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<float>) of the vectors that take part."""
+def clean(vectors: DataFrame, id_col: str, vector_col: str, size: int | None = None) -> DataFrame:
+    """(id, v array<double>) of the vectors that take part: those of the given size, or of the most common one."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    width = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.where(F.size("v") == (width["d"] if width else 0))
+    if size is None:
+        common = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        size = common["d"] if common else 0
+    return v.where(F.size("v") == size)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -175,8 +177,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     spark = vectors.sparkSession
     small_batches(spark)
     v = clean(vectors, id_col, vector_col)
-    q = clean(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
-    n = v.count()
+    first = v.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()  # all are of one size
+    n = int(first[0])
+    q = clean(queries, id_col, vector_col, first[1] or 0).groupBy("id").agg(F.min("v").alias("v"))
     result = "query_id long, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -188,14 +191,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     width = books.shape[2]
     index = materialize(build_index(v.repartition(max(1, -(-n // ROW_BLOCK))), books), "codes")
 
+    q = materialize(q, "queries")
+    n_blocks = max(1, -(-q.count() // QUERY_BLOCK))
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in blocks(batches, QUERY_BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["q_ids", "q"])
+        """One row for each block of queries; the stream is sorted by block."""
+        at, ids, rows = None, [], []
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.asarray(ids, np.int64).tobytes()], pa.binary()), pa.array([np.asarray(rows, float).tobytes()], pa.binary())], names=["block", "q_ids", "q"])
 
-    in_blocks = q.repartition(max(1, -(-n // (20 * QUERY_BLOCK)))).mapInArrow(packed, "q_ids binary, q binary")
-    in_blocks = materialize(in_blocks.withColumn("block", F.monotonically_increasing_id()), "queries")
-    numbers = [r[0] for r in in_blocks.select("block").collect()]  # one number for each QUERY_BLOCK queries
-    spread = index.withColumn("block", F.explode(F.array(*[F.lit(x).cast("long") for x in numbers]) if numbers else F.array().cast("array<long>")))
+        for b in batches:
+            for i, vec, block in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if block != at:
+                    if ids:
+                        yield row()
+                    at, ids, rows = block, [], []
+                ids.append(i)
+                rows.append(vec)
+        if ids:
+            yield row()
+
+    in_blocks = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("long")).repartition(n_blocks, "block").sortWithinPartitions("block", "id")
+    in_blocks = in_blocks.mapInArrow(packed, "block long, q_ids binary, q binary")
+    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, best = None, None  # a block of queries and its best so far

@@ -21,5 +21,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    """None of these has a form in SQL: each is held against a brute-force version in tests/llm."""
+    """None of these has a form in SQL as a whole; tests/llm hold them against brute-force versions, round trips or held-out accuracy."""
     return {}

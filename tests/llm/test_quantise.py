@@ -76,3 +76,11 @@ def test_recall_on_embeddings(spark, small):
         s[i] = -np.inf
         recall.append(len(got[int(ids[i])] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
     assert np.mean(recall) >= 0.9
+
+
+def test_queries_of_another_width_take_no_part(spark):
+    rows = [(i, [float(i % 3), 1.0, float(i)]) for i in range(30)]
+    asked = [(100, [1.0, 2.0]), (101, [1.0, 1.0]), (102, [1.0, 0.0, 2.0])]
+    schema = "vec_id long, embedding array<double>"
+    got = quantise.nearest(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), k=3).collect()
+    assert {r.query_id for r in got} == {102} and [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [29, 28, 26]  # 26 and 27 tie
