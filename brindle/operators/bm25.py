@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexical import tokens
+from ..plans.workspace import written
 
 K1, B, TOP_K = 1.2, 0.75, 10
+#: Distinct words of a batch of queries that are sent to every task; more are joined by a shuffle.
+SENT_TERMS = 20_000
 
 
 @dataclass
@@ -38,6 +41,24 @@ def build_index(chunks: DataFrame) -> Index:
     return Index(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus_stats(lengths))
 
 
+def build_written_index(chunks: DataFrame) -> Index:
+    """The same index from one reading of the texts: the counted words are written, and all else is read from them."""
+    dealt = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    # a chunk without a word has one row, of a null word
+    words = dealt.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+    counted = written(words.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")), "postings")
+    postings = counted.where("term is not null").select("term", "chunk_id", "tf", "dl")
+    lengths = counted.select("chunk_id", "dl").distinct()
+    return Index(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus_stats(lengths))
+
+
+def sent(terms: DataFrame) -> DataFrame:
+    """Distinct (term), to be broadcast if they are at most SENT_TERMS; otherwise as they are."""
+    distinct = terms.select("term").distinct()
+    few = distinct.limit(SENT_TERMS + 1).collect()
+    return F.broadcast(terms.sparkSession.createDataFrame(few, "term string")) if len(few) <= SENT_TERMS else distinct
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(qid, pos, term), repeats kept."""
     return queries.select("qid", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
@@ -64,16 +85,21 @@ def search(index: Index, queries: DataFrame, k: int = TOP_K, k1: float = K1, b:
     """BM25 of queries (qid, text): (qid, rank, chunk_id, score); k <= 0 and queries without a token give no row."""
     if k <= 0:
         return index.postings.sparkSession.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, rank int, chunk_id {dict(index.postings.dtypes)['chunk_id']}, score float")
-    matched = index.postings.join(query_terms(queries), "term").join(index.terms, "term").crossJoin(F.broadcast(index.stats))
-    return top_k(score(matched, k1, b), k)
+    asked = query_terms(queries)
+    wanted = sent(asked)
+    matched = index.postings.join(wanted, "term", "left_semi")
+    df = index.terms.join(wanted, "term", "left_semi")  # only what the queries ask for is counted
+    return top_k(score(matched.join(df, "term").join(asked, "term").crossJoin(F.broadcast(index.stats)), k1, b), k)
 
 
 def search_texts(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B) -> DataFrame:
-    """The same over chunks (chunk_id, text) that have no index: words that no query has are dropped before anything is counted."""
-    worded = chunks.select("chunk_id", tokens(F.col("text")).alias("tokens")).select("chunk_id", "tokens", F.size("tokens").alias("dl"))
-    wanted = query_terms(queries)
-    words = worded.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = words.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    """The same over chunks (chunk_id, text) that have no index: one reading of the texts keeps the queries' words and every chunk's length."""
+    asked = query_terms(queries)
+    worded = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).select("chunk_id", "tokens", F.size("tokens").alias("dl"))
+    words = worded.select("chunk_id", "dl", F.explode_outer("tokens").alias("word"))
+    kept = words.join(sent(asked), F.col("word") == F.col("term"), "left").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    kept = written(kept, "words")  # a chunk's other words are one row, of a null word
+    postings = kept.where("term is not null")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(worded)
-    return top_k(score(postings.join(wanted, "term").join(df, "term").crossJoin(F.broadcast(stats)), k1, b), k)
+    stats = corpus_stats(kept.select("chunk_id", "dl").distinct())
+    return top_k(score(postings.join(asked, "term").join(df, "term").crossJoin(F.broadcast(stats)), k1, b), k)

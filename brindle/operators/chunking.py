@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexical import byte_atoms
-from ..plans.workspace import dense_ids
+from ..plans.workspace import first_ids, written
 
 CHUNK_ATOMS, OVERLAP_ATOMS = 500, 50
 
@@ -41,5 +41,11 @@ def chunk_pieces(docs: DataFrame, size: int = CHUNK_ATOMS, overlap: int = OVERLA
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_ATOMS, overlap: int = OVERLAP_ATOMS) -> DataFrame:
-    """(chunk_id, doc_id, begin, end, text), ids dense in order of document and place."""
-    return dense_ids(chunk_pieces(docs, size, overlap), "chunk_id", "doc_id", "k").select("chunk_id", "doc_id", "begin", "end", "text")
+    """(chunk_id, doc_id, begin, end, text), ids dense in order of document and place.
+
+    Texts are cut and written once, and never sorted: documents are numbered by their chunk counts.
+    """
+    pieces = written(chunk_pieces(docs, size, overlap), "pieces")
+    counts = pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    numbered = pieces.join(first_ids(counts, "first", "n", "doc_id").drop("n"), "doc_id")
+    return numbered.select((F.col("first") + F.col("k")).alias("chunk_id"), "doc_id", "begin", "end", "text")

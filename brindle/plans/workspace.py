@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,8 @@ def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors share, or a folder of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -41,7 +43,23 @@ def dense_ids(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
         total += n
     spark = df.sparkSession
     before = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))  # a row for each partition
-    return ranked.withColumn("_part", part).join(before, "_part").withColumn(name, (F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).cast("int")).drop("_part", "_before", "_row")
+    return ranked.withColumn("_part", part).join(before, "_part").withColumn(name, F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_row")
+
+
+def first_ids(sizes: DataFrame, name: str, size: str, *order: str | Column) -> DataFrame:
+    """sizes with name = the sum of the sizes before each row in the order given: where a row's own numbers begin.
+
+    Narrow rows are sorted; inside a range a window adds up, and only one sum a range goes to the driver.
+    """
+    spark = sizes.sparkSession
+    ranked = written(sizes.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_row", 33))
+    total, offsets = 0, []
+    for p, n in sorted((r["_part"], r["n"]) for r in ranked.groupBy("_part").agg(F.sum(size).alias("n")).collect()):
+        offsets.append((p, total))
+        total += n
+    before = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))  # a row for each range
+    inside = F.sum(size).over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
+    return ranked.join(before, "_part").withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_part", "_before", "_row")
 
 
 class Store:

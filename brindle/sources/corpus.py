@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import has_extension
 from ..plans.workspace import Store, dense_ids
 
-HEADER = r"^##\s*\[(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2})(?::\d{2})?\]\s*(.+?)\s*$"
-TAG = r"^(.*?)\s*[（(](.+?)[)）]$"
+#: What stands around a record's time and its speaker's tag: fixed values of the format.
+HEADING, OPENING, CLOSING = "##", "(（", ")）"
 
 
 def load_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,21 +58,46 @@ def write_evaluation(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def header_of(line: Column) -> Column:
+    """(date, time, who) of a header line, or null: the heading, a date and a time in square brackets, and who speaks."""
+    rest = _trimmed(F.substring(line, len(HEADING) + 1, 1 << 30))
+    close = F.instr(rest, "]")
+    words = F.split(F.substring(rest, F.lit(2), close - 2), r"\s+")
+    shape = F.transform(words, lambda w: F.translate(w, "0123456789", "dddddddddd"))
+    who = _trimmed(F.substring(rest, close + 1, F.length(rest)))
+    timed = F.array_contains(F.array(F.lit("dddd-dd-dd dd:dd"), F.lit("dddd-dd-dd dd:dd:dd")), F.array_join(shape, " ")) & ~F.exists(words, lambda w: w.contains("d"))
+    good = line.startswith(HEADING) & rest.startswith("[") & (close > 0) & timed & (who != "")
+    return F.when(good, F.struct(words[0].alias("date"), F.substring(words[1], 1, 5).alias("time"), who.alias("who")))
+
+
+def speaker_of(who: Column) -> Column:
+    """(speaker, tag): a last part in round brackets, of either width, is the tag."""
+    inner = F.regexp_replace(who, f"^[^{OPENING}]*[{OPENING}]", "")
+    tag = F.substring(inner, F.lit(1), F.length(inner) - 1)
+    tagged = F.substring(who, -1, 1).isin(*CLOSING) & (F.length(inner) < F.length(who)) & (tag != "")
+    before = _trimmed(F.substring(who, F.lit(1), F.length(who) - F.length(inner) - 1))
+    return F.struct(F.when(tagged, before).otherwise(who).alias("speaker"), F.when(tagged, tag).otherwise("").alias("tag"))
+
+
 def parse_log(lines: DataFrame) -> DataFrame:
     """(line_no, when, speaker, tag, body) of the records in lines (line_no, line) of one log.
 
     A header line begins a record; lines before the first are dropped. A log is one file, read in order, so its lines share one window.
     """
-    is_header = F.col("line").rlike(HEADER)
+    is_header = header_of(F.col("line")).isNotNull()
     order = Window.partitionBy(F.lit(0)).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = lines.withColumn("head", is_header).withColumn("record", F.sum(F.col("head").cast("int")).over(order)).where("record > 0")
     grouped = marked.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("line_no", "head", "line"))).alias("rows"))
     first = F.col("rows")[0]
-    raw = F.regexp_extract(first["line"], HEADER, 3)
-    tagged = raw.rlike(TAG)
-    when = F.to_timestamp(F.concat_ws(" ", F.regexp_extract(first["line"], HEADER, 1), F.regexp_extract(first["line"], HEADER, 2)), "yyyy-MM-dd HH:mm")
+    head = header_of(first["line"])
+    said = speaker_of(head["who"])
+    when = F.try_to_timestamp(F.concat_ws(" ", head["date"], head["time"]), F.lit("yyyy-MM-dd HH:mm"))
     body = F.transform(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), lambda r: r["line"])
-    return grouped.select(first["line_no"].alias("line_no"), when.alias("when"), F.when(tagged, F.regexp_extract(raw, TAG, 1)).otherwise(raw).alias("speaker"), F.when(tagged, F.regexp_extract(raw, TAG, 2)).otherwise("").alias("tag"), F.when(F.size("rows") > 1, body).otherwise(F.array().cast("array<string>")).alias("body"))
+    return grouped.select(first["line_no"].alias("line_no"), when.alias("when"), said["speaker"].alias("speaker"), said["tag"].alias("tag"), F.when(F.size("rows") > 1, body).otherwise(F.array().cast("array<string>")).alias("body"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from brindle.operators import bm25, chunking, context, corpus_diff, logquery
 from brindle.plans.session import RetrievalSession
-from brindle.plans.workspace import Store, dense_ids
+from brindle.plans.workspace import Store, dense_ids, first_ids
+from brindle.sources.corpus import header_of, speaker_of
 from brindle.sources import providers
 from brindle.sources.corpus import load_documents, read_chunk_lines, read_log, write_chunk_lines
 from brindle.sources.snapshot import POINTER, Identity, IndexSnapshot, Status, VectorSnapshot
@@ -254,3 +255,24 @@ def test_ingest(spark, tmp_path):
     assert arrive(1, ("a", "1", 1), ("a", "2", 2), ("b", "x", 1)) == {("a", "added"), ("b", "added")}
     assert arrive(2, ("a", "3", 3), ("b", None, 2), ("c", "y", 1)) == {("a", "edited"), ("b", "removed"), ("c", "added")}
     assert {(r.path, r.content) for r in sink.current.collect()} == {("a", "3"), ("c", "y")}
+
+
+def test_headers_of_records(spark):
+    good = ["## [2024-01-02 03:04] Ann", "##[2024-01-02 03:04:59]Ann", "##  [2024-01-02   03:04]  Ann (x)  ", "## [2024-01-02 03:04] Ann（x）", "## [2024-01-02 03:04] Ann ()"]
+    bad = ["# [2024-01-02 03:04] Ann", "## 2024-01-02 03:04 Ann", "## [2024-1-02 03:04] Ann", "## [2024-01-02] Ann", "## [2024-01-02 03:04]", "## [2024-01-02 03:04]   ", "x ## [2024-01-02 03:04] Ann", "## [dddd-dd-dd dd:dd] Ann", "## [2024-01-02 03:04 x] Ann", ""]
+    df = spark.createDataFrame([(s,) for s in good + bad], "line string")
+    head = header_of(F.col("line"))
+    rows = {r["line"]: r for r in df.select("line", head.alias("h"), speaker_of(head["who"]).alias("s")).collect()}
+    assert all(rows[s]["h"] is not None and tuple(rows[s]["h"])[:2] == ("2024-01-02", "03:04") for s in good)
+    assert all(rows[s]["h"] is None for s in bad)
+    assert [tuple(rows[s]["s"]) for s in good] == [("Ann", ""), ("Ann", ""), ("Ann", "x"), ("Ann", "x"), ("Ann ()", "")]
+
+
+def test_first_ids(spark):
+    rows = spark.range(50).select((F.col("id") * 37 % 50).alias("k"), (F.col("id") % 4).alias("n")).repartition(7)
+    got = first_ids(rows, "first", "n", "k").orderBy("k").collect()
+    total = 0
+    for r in got:
+        assert r["first"] == total
+        total += r["n"]
+    assert len(got) == 50 and first_ids(rows.where("false"), "first", "n", "k").count() == 0
