@@ -13,6 +13,8 @@ from ..plans.workspace import written
 K1, B, TOP_K = 1.2, 0.75, 10
 #: Distinct words of a batch of queries that are sent to every task; more are joined by a shuffle.
 SENT_TERMS = 20_000
+#: Distinct words that a text's own are compared with before they become rows.
+NAMED_TERMS = 200
 
 
 @dataclass
@@ -43,7 +45,7 @@ def build_index(chunks: DataFrame) -> Index:
 
 def build_written_index(chunks: DataFrame) -> Index:
     """The same index from one reading of the texts: the counted words are written, and all else is read from them."""
-    dealt = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    dealt = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     # a chunk without a word has one row, of a null word
     words = dealt.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
     counted = written(words.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")), "postings")
@@ -96,9 +98,13 @@ def search_texts(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, k1: floa
     """The same over chunks (chunk_id, text) that have no index: one reading of the texts keeps the queries' words and every chunk's length."""
     asked = query_terms(queries)
     worded = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).select("chunk_id", "tokens", F.size("tokens").alias("dl"))
-    words = worded.select("chunk_id", "dl", F.explode_outer("tokens").alias("word"))
-    kept = words.join(sent(asked), F.col("word") == F.col("term"), "left").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    kept = written(kept, "words")  # a chunk's other words are one row, of a null word
+    named = [x["term"] for x in asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+    if len(named) <= NAMED_TERMS:
+        words = worded.select("chunk_id", "dl", F.explode_outer(F.filter("tokens", lambda t: t.isin(named))).alias("term"))
+    else:
+        words = worded.select("chunk_id", "dl", F.explode_outer("tokens").alias("word")).join(sent(asked), F.col("word") == F.col("term"), "left")
+    # a chunk without the queries' words has a row of a null word
+    kept = written(words.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")), "words")
     postings = kept.where("term is not null")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(kept.select("chunk_id", "dl").distinct())
