@@ -604,7 +604,7 @@ def evaluation_lines(spark, d):
     return spark.read.schema("qid long, rank int").json(to)
 
 
-@query("SELECT conv_id * 1000 + turn AS line, CAST(TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR AS VARCHAR) AS at, role AS speaker, CASE WHEN turn % 3 = 0 THEN 't' || turn ELSE '' END AS tag, length(regexp_replace(text, '\s+', ' ', 'g')) AS n_chars FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id * 1000 + turn AS line, CAST(TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR AS VARCHAR) AS at, role AS speaker, CASE WHEN turn % 3 = 0 THEN 't' || turn ELSE '' END AS tag, length(regexp_replace(text, '\\s+', ' ', 'g')) AS n_chars FROM conversations WHERE text IS NOT NULL")
 def log_records(spark, d):
     """A log written as lines of the record format, with lines before its first record, and parsed."""
     said = table(spark, d, "conversations").where("text is not null")

@@ -20,7 +20,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained models, minimum hashes and tokenizers have no form in SQL; tests/llm holds run() against a brute-force version.
+#: Trained models, minimum hashes and tokenizers have no form in SQL; tests/llm hold run() against its stages one by one, and the operators behind them against plain versions.
 ORACLE_SQL = None
 
 
