@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, doc_shingles, documents, has_rows, materialize, mix64, released, shielded, signed, shuffle_parts, small_batches
+from .common import U64, doc_shingles, documents, done_with, has_rows, materialize, mix64, released, shielded, signed, shuffle_parts, small_batches
 from .components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -40,6 +40,8 @@ CELLS, CELL_ROW = 1 << 20, 1 << 14
 LEAST_AGREE = 37
 #: Texts of a block when a bucket is searched whole by samples, and by texts; partners of a text that are verified first.
 BLOCK, TEXT_BLOCK, FIRST_PARTNERS = 512, 512, 8
+#: Buckets with more than this part of all rows are hot; there are fewer of them than its inverse.
+HOT_PART = 1 / 2000
 
 _rng = np.random.default_rng(23)
 _SEEDS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * U64(2) + U64(1)
@@ -130,9 +132,15 @@ def sketch_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
 
 
 def idf_of(counts: np.ndarray, n: int) -> np.ndarray:
-    """Augmented inverse document frequency by cell, between 0.5 and 1: half is the same for all, half falls with the logarithm of the frequency."""
+    """Augmented inverse document frequency by cell, between 0.5 and 1: half is the same for all, half falls with the logarithm of the frequency.
+
+    A cell counts unrelated shingles too, about as many as the median cell; what lies within four deviations of that is
+    taken for chance. So a rare shingle weighs 1 however large the corpus is, and one that stands out of its cell weighs less.
+    """
+    usual = float(np.median(counts))
+    frequency = np.maximum(counts - (usual + 4 * np.sqrt(usual)), 1)
     most = np.log1p(max(n, 1))
-    return (0.5 + 0.5 * np.log1p(n / np.maximum(counts, 1)) / most).astype(np.float32)
+    return (0.5 + 0.5 * np.log1p(n / frequency) / most).astype(np.float32)
 
 
 def weighted(shingles: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,15 +238,15 @@ class Cell:
         return j[first], agree[first]
 
 
-def likely_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b): partners of each text, at most FIRST_PARTNERS of a block; and (a, null) for a text with more."""
+def likely_pairs(batches: Iterator[pa.RecordBatch], similarity: float, first: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): partners of each text, at most `first` of a block; and (a, null) for a text with more."""
     for rows in cells(batches):
         cell = Cell(rows, similarity)
         out_a, out_b = [], []
         for i in cell.left:
             j, agree = cell.partners(i, cell.side[i] == 2)
-            if len(j) > FIRST_PARTNERS:
-                j = j[np.lexsort((cell.key[j], -agree))[:FIRST_PARTNERS]]
+            if len(j) > first:
+                j = j[np.lexsort((cell.key[j], -agree))[:first]]
                 out_a.append(int(cell.key[i]))
                 out_b.append(None)
             out_a += [int(cell.key[i])] * len(j)
@@ -269,10 +277,17 @@ def exact_links(batches: Iterator[pa.RecordBatch], idf: np.ndarray, width: int,
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def in_blocks(buckets: DataFrame, sigs: DataFrame, own: DataFrame) -> DataFrame:
+def met(rows: DataFrame, other: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with other on bucket, of which other has one row each. Rows of hot buckets stay where they are and get other's row by broadcast; hot (bucket) has fewer than 1 / HOT_PART rows."""
+    few = F.broadcast(hot)
+    cold = rows.join(few, "bucket", "left_anti").join(other, "bucket", how)
+    return cold.unionByName(rows.join(F.broadcast(other.join(few, "bucket", "left_semi")), "bucket", how))
+
+
+def in_blocks(buckets: DataFrame, sigs: DataFrame, own: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows of Cell, sorted by cell. buckets: (bucket, band, key); own: (key, class). A bucket is dealt into blocks of about BLOCK texts, and two blocks meet in a cell of their own."""
     sized = buckets.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = buckets.join(sized, "bucket").join(sigs.select("key", "weight", "samples").join(own, "key"), "key")
+    rows = met(buckets, sized, hot).join(sigs.select("key", "weight", "samples").join(own, "key"), "key")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
@@ -280,12 +295,12 @@ def in_blocks(buckets: DataFrame, sigs: DataFrame, own: DataFrame) -> DataFrame:
     return dealt.repartition(shuffle_parts(buckets.sparkSession), "cell").sortWithinPartitions("cell")
 
 
-def asked_in_blocks(buckets: DataFrame, asked: DataFrame, sigs: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+def asked_in_blocks(buckets: DataFrame, asked: DataFrame, sigs: DataFrame, own: DataFrame, texts: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows of Cell with asked and text: in each bucket, blocks of the asked texts (side 0) meet blocks of all its texts (side 1)."""
     rows = buckets.join(asked.withColumn("asked", F.lit(True)), "key", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
     sized = rows.groupBy("bucket").agg(F.ceil(F.sum(F.col("asked").cast("int")) / TEXT_BLOCK).cast("int").alias("ours"), F.ceil(F.count(F.lit(1)) / TEXT_BLOCK).cast("int").alias("theirs")).where("ours > 0")
     full = sigs.select("key", "weight", "samples").join(own, "key").join(texts, "key")
-    rows = rows.join(sized, "bucket").join(full, "key")
+    rows = met(rows, sized, hot).join(full, "key")
     h = F.xxhash64("key")
     lane = lambda side, mine, other: F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda o: F.struct(F.lit(side).alias("side"), (F.pmod(h, F.col(mine)) if side == 0 else o).cast("int").alias("x"), (o if side == 0 else F.pmod(h, F.col(mine))).cast("int").alias("y")))
     spots = F.when(F.col("asked"), F.concat(lane(0, "ours", "theirs"), lane(1, "theirs", "ours"))).otherwise(lane(1, "theirs", "ours"))
@@ -299,8 +314,9 @@ def text_components(docs: DataFrame, width: int, similarity: float) -> DataFrame
     idf = idf_of(counts, n)
     sigs = materialize(signatures(docs.select("key", "text"), idf, width), "signatures")
     buckets = sigs.select(F.posexplode("bands").alias("band", "bucket"), "key")
-    firsts = buckets.groupBy("bucket").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = materialize(buckets.join(firsts, "bucket"), "buckets")
+    firsts = materialize(buckets.groupBy("bucket").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    hot = firsts.where(F.col("n") > sigs.count() * BANDS * HOT_PART).select("bucket")
+    shared = materialize(met(buckets, firsts.drop("n"), hot), "buckets")
     # the texts of all candidates, moved once
     texts = materialize(docs.join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
     pairs = shared.where("a <> key").select("a", F.col("key").alias("b")).distinct()
@@ -311,18 +327,23 @@ def text_components(docs: DataFrame, width: int, similarity: float) -> DataFrame
         return rows.join(own.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
     several = classed(shared, "key", "class").groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-    open_rows = materialize(shared.select("bucket", "band", "key").join(several.select("bucket"), "bucket", "left_semi"), "open")
+    open_rows = materialize(met(shared.select("bucket", "band", "key"), several.select("bucket"), hot, "left_semi"), "open")
+    used = [sigs, firsts, shared, texts, edges, open_rows]
     if has_rows(open_rows):
+        first = FIRST_PARTNERS  # workers import the module anew
         keys = open_rows.select("key").distinct()
-        likely = materialize(in_blocks(open_rows, sigs, classed(keys, "key", "class")).mapInArrow(released(lambda it: likely_pairs(it, similarity)), "a long, b long"), "likely")
+        likely = materialize(in_blocks(open_rows, sigs, classed(keys, "key", "class"), hot).mapInArrow(released(lambda it: likely_pairs(it, similarity, first)), "a long, b long"), "likely")
         more = materialize(verified(likely.where("b is not null"), texts, idf, width, similarity), "links")
+        used += [likely, more, own]
         edges = edges.unionByName(more)
         own = materialize(components(edges), "classes")
         asked = likely.where("b is null").select(F.col("a").alias("key")).distinct()
         if has_rows(asked):
-            rows = asked_in_blocks(open_rows, asked, sigs, classed(keys, "key", "class"), texts)
+            rows = asked_in_blocks(open_rows, asked, sigs, classed(keys, "key", "class"), texts, hot)
             more = materialize(rows.mapInArrow(released(lambda it: exact_links(it, idf, width, similarity)), "a long, b long"), "links")
+            used += [more, own]
             own = materialize(components(edges.unionByName(more)), "classes")
+    done_with(*used)
     return own.select(F.col("node").alias("key"), F.col("component").alias("class"))
 
 

@@ -69,7 +69,42 @@ def test_crowded_buckets_are_searched_whole(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FIRST_PARTNERS", 1)
     monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(neardup, "TEXT_BLOCK", 8)
-    classes_match(spark, planted(2))
+    asked, plain = [], neardup.asked_in_blocks
+
+    def seen(buckets, texts_asked, *rest):
+        asked.append(texts_asked.count())
+        return plain(buckets, texts_asked, *rest)
+
+    monkeypatch.setattr(neardup, "asked_in_blocks", seen)
+    rng = random.Random(4)
+    base = prose(rng, 300)
+    classes_match(spark, planted(2) + [edited(rng, base, 6) for _ in range(120)])
+    assert sum(asked) > 0
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    rng = random.Random(11)
+    texts, at = [], []
+    for _ in range(400):
+        base = prose(rng, 200)
+        texts += [base, edited(rng, base, 4)]  # 176 of 216 shingles
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    sets = [neardup.weighted(s, np.ones(neardup.CELLS)) for _, s in doc_shingles(texts)]
+    at = [neardup.weighted_jaccard(sets[i], sets[i + 1]) for i in range(0, len(texts), 2)]
+    near = [i for i, x in enumerate(at) if 0.8 <= x < 0.87]
+    assert len(near) > 300
+    assert sum(got[2 * i] == got[2 * i + 1] for i in near) >= 0.99 * len(near)
+
+
+def test_weights_of_rare_shingles_do_not_depend_on_the_size():
+    rng = np.random.default_rng(2)
+    for load in (0, 20, 2000):
+        counts = rng.poisson(load, neardup.CELLS)
+        counts[:10] += 100_000
+        idf = neardup.idf_of(counts, 1_000_000)
+        assert (idf[10:] > 0.999).mean() > 0.99
+        assert (idf[:10] < 0.65).all()
 
 
 def test_samples_agree_as_often_as_weighted_jaccard():
