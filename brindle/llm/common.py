@@ -53,12 +53,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
-    """df written once, dealt by key: joins on the key move the other side alone. The table goes when the block ends."""
+def bucketed(df: DataFrame, key: str, dealt: bool = False) -> Iterator[DataFrame]:
+    """df written once, dealt by key: joins on the key move the other side alone. The table goes when the block ends.
+
+    dealt: df comes from an aggregation or join on the key and so lies in such parts already.
+    """
     spark = df.sparkSession
     n, name = shuffle_parts(spark), f"brindle_{uuid.uuid4().hex}"
     path = f"{workspace(spark)}/brindle/{name}"
-    df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    (df if dealt else df.repartition(n, key)).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:

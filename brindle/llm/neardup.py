@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, doc_shingles, documents, done_with, has_rows, materialize, mix64, released, shielded, signed, shuffle_parts, small_batches
+from .common import U64, bucketed, doc_shingles, documents, done_with, has_rows, materialize, mix64, released, shielded, signed, shuffle_parts, small_batches
 from .components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -157,7 +157,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, width: int) -> DataFrame:
-    """(key, weight, bands, samples) of each distinct text with a word."""
+    """(key, weight, bands, samples) of each text with a word; docs: (key, text), each text once."""
     small_batches(docs.sparkSession)
     mult = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U64) | U64(1)
 
@@ -174,7 +174,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, width: int) -> DataFrame:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["key", "weight", "bands", "samples"])
 
-    return docs.mapInArrow(released(run), "key long, weight double, bands array<long>, samples binary").dropDuplicates(["key"])
+    return docs.mapInArrow(released(run), "key long, weight double, bands array<long>, samples binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, width: int, similarity: float) -> DataFrame:
@@ -312,13 +312,22 @@ def text_components(docs: DataFrame, width: int, similarity: float) -> DataFrame
     """(key, class) of the keys of texts that have a near-duplicate; docs: (key, text)."""
     counts, n = sketch_frequencies(docs.select("text"), width)
     idf = idf_of(counts, n)
-    sigs = materialize(signatures(docs.select("key", "text"), idf, width), "signatures")
-    buckets = sigs.select(F.posexplode("bands").alias("band", "bucket"), "key")
-    firsts = materialize(buckets.groupBy("bucket").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
-    hot = firsts.where(F.col("n") > sigs.count() * BANDS * HOT_PART).select("bucket")
-    shared = materialize(met(buckets, firsts.drop("n"), hot), "buckets")
-    # the texts of all candidates, moved once
-    texts = materialize(docs.join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
+    # texts move once, copies are dropped before that; signatures and joins on the key find them in place
+    with bucketed(docs.dropDuplicates(["key"]), "key", dealt=True) as texts:
+        sigs = materialize(signatures(texts.select("key", "text"), idf, width), "signatures")
+        buckets = sigs.select(F.posexplode("bands").alias("band", "bucket"), "key")
+        firsts = materialize(buckets.groupBy("bucket").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+        hot = firsts.where(F.col("n") > sigs.count() * BANDS * HOT_PART).select("bucket")
+        shared = materialize(met(buckets, firsts.drop("n"), hot), "buckets")
+        candidates = texts.join(shared.select("key").distinct(), "key", "left_semi")
+        with bucketed(candidates, "key", dealt=True) as likely_texts:
+            own = linked(sigs, shared, hot, likely_texts, idf, width, similarity)
+    done_with(sigs, firsts, shared)
+    return own.select(F.col("node").alias("key"), F.col("component").alias("class"))
+
+
+def linked(sigs: DataFrame, shared: DataFrame, hot: DataFrame, texts: DataFrame, idf: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """(node, component): classes of the texts in shared buckets (bucket, band, key, a: the bucket's least key); texts: (key, text) of those."""
     pairs = shared.where("a <> key").select("a", F.col("key").alias("b")).distinct()
     edges = materialize(verified(pairs, texts, idf, width, similarity), "links")
     own = materialize(components(edges), "classes")
@@ -328,7 +337,7 @@ def text_components(docs: DataFrame, width: int, similarity: float) -> DataFrame
 
     several = classed(shared, "key", "class").groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
     open_rows = materialize(met(shared.select("bucket", "band", "key"), several.select("bucket"), hot, "left_semi"), "open")
-    used = [sigs, firsts, shared, texts, edges, open_rows]
+    used = [edges, open_rows]
     if has_rows(open_rows):
         first = FIRST_PARTNERS  # workers import the module anew
         keys = open_rows.select("key").distinct()
@@ -344,7 +353,7 @@ def text_components(docs: DataFrame, width: int, similarity: float) -> DataFrame
             used += [more, own]
             own = materialize(components(edges.unionByName(more)), "classes")
     done_with(*used)
-    return own.select(F.col("node").alias("key"), F.col("component").alias("class"))
+    return own
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
