@@ -106,7 +106,7 @@ def both_fingerprints(text: str, edited: str, same: int) -> tuple[np.ndarray, np
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(part, own, id, text), each part sorted by id, and after its rows, with own false, the first row of the next part.
 
-    Ids are dealt into ranges and the texts are moved once; only one row a range goes to the driver.
+    Ids are dealt into ranges, a task each, and the texts are moved once; only one row a range goes to the driver.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
@@ -120,7 +120,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("lap"))
     to = F.array_compact(F.array(own, F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(1).alias("lap")))))
     dealt = rows.join(F.broadcast(sent), ["part", "key"], "left").withColumn("to", F.explode(to))
-    dealt = dealt.select("to.part", "to.lap", "key", "id", "text").repartition(n, "part").sortWithinPartitions("part", "lap", "key", "text")
+    dealt = dealt.select("to.part", "to.lap", "key", "id", "text").repartitionById(n, F.col("part")).sortWithinPartitions("part", "lap", "key", "text")
     return dealt.select("part", (F.col("lap") == 0).alias("own"), "id", "text")
 
 
