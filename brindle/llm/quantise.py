@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, small_batches
+from .common import documents, done_with, materialize, shuffle_parts, small_batches
 
 #: Vectors that the codebooks are fitted to, at most; chosen by a hash of the id.
 SAMPLE = 16384
 BOOKS, WORDS, BEAM = 12, 256, 6
-#: Candidates of a block of rows that are reranked for each query, and rows and queries of a block.
-SHORTLIST, ROW_BLOCK, QUERY_BLOCK = 400, 8192, 512
+#: Candidates of a block of rows that are reranked for each query, rows and queries of a block, and queries scored at once.
+SHORTLIST, ROW_BLOCK, QUERY_BLOCK, QUERY_LOT = 400, 8192, 8192, 64
 
 
 def nearest_word(x: np.ndarray, c: np.ndarray, lot: int = 2048) -> np.ndarray:
@@ -130,20 +130,20 @@ def build_index(v: DataFrame, books: np.ndarray) -> DataFrame:
             ids, x = ids[order], x[order]
             codes, sums = encode(x, books)
             made = [ids, codes, np.sqrt((x * x).sum(1)), np.sqrt((sums * sums).sum(1)), x]
-            yield pa.RecordBatch.from_arrays([pa.array([len(ids)]), *(pa.array([m.tobytes()], pa.binary()) for m in made)], names=["n", "ids", "codes", "norms", "sum_norms", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()) for m in made], names=["ids", "codes", "norms", "sum_norms", "v"])
 
-    return v.mapInArrow(run, "n long, ids binary, codes binary, norms binary, sum_norms binary, v binary")
+    return v.mapInArrow(run, "ids binary, codes binary, norms binary, sum_norms binary, v binary")
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, sum_norms: np.ndarray, x: np.ndarray, books: np.ndarray, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, row ids, scores): each query's k best of the block."""
     scale = (norms / np.maximum(sum_norms, 1e-12)).astype(np.float32)
-    tables = [(q @ book.T).astype(np.float32) for book in books]
     out: list[tuple] = []
-    for i in range(0, len(q), 64):
-        score = tables[0][i : i + 64].take(codes[:, 0], axis=1)
+    for i in range(0, len(q), QUERY_LOT):
+        tables = [(q[i : i + QUERY_LOT] @ book.T).astype(np.float32) for book in books]
+        score = tables[0].take(codes[:, 0], axis=1)
         for m in range(1, len(books)):
-            score += tables[m][i : i + 64].take(codes[:, m], axis=1)
+            score += tables[m].take(codes[:, m], axis=1)
         score *= scale
         if score.shape[1] > shortlist:  # what ties with the last stays too
             row, col = np.nonzero(score >= np.partition(score, score.shape[1] - shortlist, axis=1)[:, [-shortlist]])
@@ -172,7 +172,9 @@ def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], k: int) -> tupl
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of vectors to each row of queries, its own id left out.
 
-    Queries and rows meet in blocks, so a task holds one block of each; nothing is collected but the sample.
+    Queries and rows meet in blocks, so a task holds one block of each; nothing is collected but the sample. Each block of
+    rows is moved once for every QUERY_BLOCK queries. Where the blocks of queries are few, the rows are dealt into lanes, and
+    a block of queries meets each lane in a task of its own.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -189,10 +191,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     fit = np.stack(got["v"].to_numpy()).astype(float)
     books = fit_books(fit[np.lexsort((*fit.T[:4], got["id"].to_numpy()))])
     width = books.shape[2]
-    index = materialize(build_index(v.repartition(max(1, -(-n // ROW_BLOCK))), books), "codes")
+    n_rows = max(1, -(-n // ROW_BLOCK))
+    index = materialize(build_index(v.repartition(n_rows), books), "codes")
 
     q = materialize(q, "queries")
     n_blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    lanes = max(1, min(n_rows, -(-shuffle_parts(spark) // n_blocks)))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each block of queries; the stream is sorted by block."""
@@ -213,8 +217,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
             yield row()
 
     in_blocks = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("long")).repartition(n_blocks, "block").sortWithinPartitions("block", "id")
-    in_blocks = in_blocks.mapInArrow(packed, "block long, q_ids binary, q binary")
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = materialize(in_blocks.mapInArrow(packed, "block long, q_ids binary, q binary"), "asked")
+    spread = index.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("long")).withColumn("block", each(n_blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, best = None, None  # a block of queries and its best so far
@@ -229,11 +234,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
         if best is not None:
             yield pa.RecordBatch.from_arrays([pa.array(y) for y in best], names=["query_id", "vec_id", "score"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are whole blocks here
-    met = in_blocks.join(spread, "block").select("q_ids", "q", "ids", "codes", "norms", "sum_norms", "v").mapInArrow(run, result)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # rows are whole blocks here
+    met = asked.withColumn("lane", each(lanes)).join(spread, ["block", "lane"]).select("q_ids", "q", "ids", "codes", "norms", "sum_norms", "v").mapInArrow(run, result)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = materialize(met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
     small_batches(spark)
+    done_with(index, q, asked)
     return found
 
 
