@@ -245,7 +245,7 @@ def test_session(spark, tmp_path):
 def test_ingest(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    sink = Ingest(spark)
+    sink = Ingest(spark, str(tmp_path / "store"))
 
     def arrive(n, *rows):
         (src / f"{n}.json").write_text("\n".join(json.dumps({"path": p, "content": c, "version": v}) for p, c, v in rows))
@@ -255,6 +255,11 @@ def test_ingest(spark, tmp_path):
     assert arrive(1, ("a", "1", 1), ("a", "2", 2), ("b", "x", 1)) == {("a", "added"), ("b", "added")}
     assert arrive(2, ("a", "3", 3), ("b", None, 2), ("c", "y", 1)) == {("a", "edited"), ("b", "removed"), ("c", "added")}
     assert {(r.path, r.content) for r in sink.current.collect()} == {("a", "3"), ("c", "y")}
+    sink = Ingest(spark, str(tmp_path / "store"))  # after a restart
+    assert {(r.path, r.content) for r in sink.current.collect()} == {("a", "3"), ("c", "y")}
+    assert arrive(3, ("c", "z", 2)) == {("c", "edited")}
+    assert {(r.path, r.content) for r in sink.current.collect()} == {("a", "3"), ("c", "z")}
+    assert len(list((tmp_path / "store" / "batches").iterdir())) == 1
 
 
 def test_headers_of_records(spark):
