@@ -41,6 +41,12 @@ def build_prompts(queries: DataFrame, materials: DataFrame, budget: int = BUDGET
     return queries.join(ledger, "qid", "left").select("qid", F.lit(SYSTEM).alias("system"), user.alias("user"), F.coalesce(used, empty).alias("used"))
 
 
+def source_lines(prompts: DataFrame) -> DataFrame:
+    """(qid, n, line): the ledger of prompts (qid, used) as a console shows it under an answer."""
+    used = prompts.select("qid", F.explode("used").alias("u"))
+    return used.select("qid", "u.n", F.concat(F.lit("["), "u.n", F.lit("] "), "u.source", F.lit(" (chunk "), "u.chunk_id", F.lit(")")).alias("line"))
+
+
 def citations(answers: DataFrame) -> DataFrame:
     """(qid, pos, n, valid) for each [n] in answers (qid, answer, n_used): valid if the ledger has such a number."""
     found = answers.select("qid", "n_used", F.posexplode(F.regexp_extract_all("answer", F.lit(r"\[([0-9]{1,5})\]"), F.lit(1))).alias("pos", "n"))

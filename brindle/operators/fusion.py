@@ -46,9 +46,21 @@ def route_scores(ranked: DataFrame, bm25: DataFrame, dense: DataFrame, route_k:
     return out.withColumn("route", label)
 
 
-def score_text(score: str) -> F.Column:
-    """A score for display, - where there is none."""
-    return F.coalesce(F.format_string("%.8g", F.col(score).cast("double")), F.lit("-"))
+def score_text(score: str, digits: int = 6) -> F.Column:
+    """A score for display, - where there is none: so many digits at most, no zeros at the end, an exponent below 0.0001 and beyond the digits."""
+    x = F.col(score).cast("double")
+    e = F.format_string(f"%.{digits - 1}e", x)
+    plain = F.regexp_replace(e.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    near = F.substring_index(e, "e", -1).try_cast("int").between(-4, digits - 1)
+    return F.when(x.isNull(), "-").when(near, plain).otherwise(F.regexp_replace(e, r"\.?0+e", "e"))
+
+
+def printed(ranked: DataFrame, bm25: DataFrame, dense: DataFrame | None, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, rank, line): each result as a console shows it; the routes' scores stand in the results of queries that both routes answered."""
+    dense = bm25.limit(0) if dense is None else dense
+    found = described(route_scores(ranked, bm25, dense), chunks, docs).join(dense.select("qid", F.lit(True).alias("fused")).distinct(), "qid", "left")
+    scores = F.when(F.col("fused"), F.concat(F.lit("rrf="), score_text("score"), F.lit("  bm25="), score_text("bm25_score"), F.lit("  vec="), score_text("dense_score"))).otherwise(F.concat(F.lit("score="), score_text("score")))
+    return found.select("qid", "rank", F.concat(F.lit("["), "rank", F.lit("] "), scores, F.lit("  doc="), "path", F.lit("\n    "), F.coalesce("text", F.lit(""))).alias("line"))
 
 
 def described(ranked: DataFrame, chunks: DataFrame, docs: DataFrame, show_deleted: bool = True) -> DataFrame:

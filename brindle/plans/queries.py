@@ -287,6 +287,23 @@ def route_labels(spark, d):
     return shown(out, "bm25_score", "dense_score", "route")
 
 
+@query(
+    f"WITH {S_ROUTES}, r AS ({s_rrf('lex', 'vec')}), p AS (SELECT r.qid, r.rank, '[' || r.rank || '] rrf=' || printf('%g', CAST(r.score AS DOUBLE)) || '  bm25=' || coalesce(printf('%g', CAST(lex.score AS DOUBLE)), '-') || '  vec=' || coalesce(printf('%g', CAST(vec.score AS DOUBLE)), '-') || '  doc=' || {S_PATH} AS head, coalesce(text, '') AS text FROM r JOIN documents ON doc_id = r.chunk_id LEFT JOIN lex ON lex.chunk_id = r.chunk_id LEFT JOIN vec ON vec.chunk_id = r.chunk_id WHERE r.rank <= 10) SELECT qid, rank, head, md5(head || chr(10) || '    ' || text) AS line_md5 FROM p"
+)
+def printed_results(spark, d):
+    lex, near = routes(spark, d)
+    docs = corpus(spark, d)
+    as_chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("content").cast("string").alias("text"))
+    lines = fusion.printed(fusion.hybrid(lex, near), lex, near, as_chunks, docs)
+    return lines.select("qid", "rank", F.substring_index("line", "\n", 1).alias("head"), F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+@query(f"{S_KEPT} SELECT qid, n, '[' || n || '] ' || source || ' (chunk ' || chunk_id || ')' AS line FROM kept")
+def source_lines(spark, d):
+    found = materials(spark, d)
+    return context.source_lines(context.build_prompts(found.select("qid").distinct().withColumn("text", F.col("qid")), found))
+
+
 @query(f"WITH {S_TERMS}, {S_INDEX}, r AS ({s_ranked(S_BM25, 10)}) SELECT r.rank, r.chunk_id, {S_PATH} AS path FROM r JOIN documents ON doc_id = chunk_id")
 def result_paths(spark, d):
     docs = corpus(spark, d)

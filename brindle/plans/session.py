@@ -115,6 +115,14 @@ class RetrievalSession:
                 near, error = None, str(e)
         return Answer(lexical, near, fusion.hybrid(lexical, near, shown=shown), dense_error=error)
 
+    def printed(self, answer: Answer) -> DataFrame:
+        """(qid, rank, line) of the results shown."""
+        return fusion.printed(answer.ranked, answer.bm25, answer.dense, self.chunks, self.docs)
+
+    def sources(self, answer: Answer) -> DataFrame:
+        """(qid, n, line): what the answers were grounded in."""
+        return context.source_lines(answer.prompts)
+
     def ask(self, queries: DataFrame, budget: int = context.BUDGET_BYTES, answer_empty: bool = True, trim: bool = True) -> Answer:
         """Search, prompts, answers and citation checks; without a generator, retrieval alone.
 

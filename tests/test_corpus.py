@@ -5,7 +5,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import bm25, chunking, context, corpus_diff, logquery
+from brindle.operators import bm25, chunking, context, corpus_diff, fusion, logquery
 from brindle.plans.session import RetrievalSession
 from brindle.plans.workspace import Store, dense_ids, first_ids
 from brindle.sources.corpus import header_of, speaker_of
@@ -228,6 +228,9 @@ def test_session(spark, tmp_path):
     ranked = out.ranked.orderBy("qid", "rank").collect()
     assert ranked[0].chunk_id == 1 and {r.qid for r in ranked} == {0, 1}
     assert [(r.n, r.valid) for r in out.citations.where("qid = 0").orderBy("pos").collect()] == [(1, True), (9, False)]
+    lines = {(r.qid, r["rank"]): r.line for r in s.printed(out).collect()}
+    assert lines[0, 1].startswith("[1] rrf=0.0327869  bm25=") and lines[0, 1].endswith("  doc=pwn/c third+.md\n    ret2libc base") and "bm25=-" in lines[1, 1]
+    assert s.sources(out).where("qid = 0 and n = 1").first().line == "[1] pwn/c third+.md (chunk 1)"
     s.delete(1)
     assert s.reused.n_embedded == 0 and s.reused.n_reused == 3
     assert 1 not in {r.doc_id for r in s.chunks.collect()} and s.documents().where("deleted").first().doc_id == 1
@@ -242,6 +245,12 @@ def test_session(spark, tmp_path):
     assert only.dense is None and only.prompts.count() == 0 and third.ask(q).prompts.count() == 2
 
 
+def test_score_text(spark):
+    values = [0.016393442622950821, 12.5, 0.00001234567, 1234567.0, 0.5, 7.0, 100.0, 0.0, -0.25, 999999.5, 0.0001, 1e30, None]
+    got = [r.t for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", fusion.score_text("x").alias("t")).orderBy("i").collect()]
+    assert got == ["-" if v is None else "%g" % v for v in values]
+
+
 def test_ingest(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
