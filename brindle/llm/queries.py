@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, lm, mixing, neardup, packing, passages, phrases, pii, quantise
+from . import bytepairs, centroids, collocations, html, langid, lm, mixing, neardup, packing, passages, phrases, pii, quantise
 
 
 def queries() -> dict:
@@ -17,9 +17,12 @@ def queries() -> dict:
         "op8_lz_fingerprint": phrases.op8_lz_fingerprint,
         "op9_substring_dedup": passages.op9_substring_dedup,
         "op10_language_id": langid.op10_language_id,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_byte_bpe": bytepairs.op12_byte_bpe,
+        "op13_centroids": centroids.op13_centroids,
     }
 
 
 def oracle_sql() -> dict:
-    """None of these has a form in SQL as a whole; tests/llm hold them against brute-force versions, round trips or held-out accuracy."""
-    return {}
+    """SQL where an operator's whole contract has one; tests/llm hold the others against brute-force versions, round trips or held-out accuracy."""
+    return {"op11_collocations": collocations.sql(), "op13_centroids": centroids.sql()}
