@@ -6,6 +6,7 @@ questions, conversations for a record log.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.lexical import ATOM, HAN, RUN, WORD, atom_count, atoms, tokens
-from ..operators import bm25, chunking, context, corpus_diff, dense, evaluate, fusion, hnsw, logquery
+from ..operators import bm25, chunking, context, corpus_diff, dense, evaluate, fusion, hnsw, logquery, routing
 from ..sources import corpus as corpus_io
 from ..sources import providers
+from ..sources.segments import SegmentedIndex
 from ..sources.snapshot import Identity, IndexSnapshot, VectorSnapshot
 from .session import flat_vectors
-from .workspace import folder, written
+from .workspace import Store, folder, written
 
 QUESTION = "The hewh of thaner, the"
 TERMS = ["the", "hewh", "of", "thaner", "the"]
@@ -225,6 +227,33 @@ def flat_batch_topk(spark, d):
     return shown(dense.search_flat(vectors(spark, d), asked(spark, d), 5))
 
 
+@query(f"WITH r AS ({s_flat('a.vec_id % 20 = 0', 5)}) {S_SHOWN} FROM r")
+def flat_bounded_topk(spark, d):
+    """The same from blocks with bounds, which skip what cannot matter."""
+    return shown(routing.search_bounded(routing.in_blocks(vectors(spark, d).select("chunk_id", "embedding")), asked(spark, d), 5))
+
+
+def gathered(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors drawn to the first of their label, as those of texts on a few subjects are; the table's own have no clusters."""
+    own = vectors(spark, d)
+    first = own.groupBy("label").agg(F.min_by("embedding", "chunk_id").alias("first"))
+    return own.join(first, "label").select("chunk_id", F.zip_with("embedding", "first", lambda x, y: (x.cast("double") * 0.35 + y.cast("double")).cast("float")).alias("embedding"))
+
+
+@query("SELECT vec_id AS qid, 10 AS n, 2 AS n_cells, true AS good, true AS all_good FROM embeddings WHERE vec_id % 20 = 0")
+def hnsw_routed_gate(spark, d):
+    """Graphs of 8 cells, of which each question meets a quarter: at least 7 of 10 exact results each, and 95 % of all."""
+    own = written(gathered(spark, d), "gathered")
+    q = own.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "embedding")
+    index = routing.build_routed(own, 8)
+    near = written(routing.search_routed(index, q, 10, probes=2), "near")
+    hits = dense.search_flat(own, q, 10).join(near.select("qid", "chunk_id", F.lit(1).alias("hit")), ["qid", "chunk_id"], "left").groupBy("qid").agg(F.count("hit").alias("hits"))
+    met = routing.routes(index, q, 2).groupBy("qid").agg(F.countDistinct("cell").cast("int").alias("n_cells"))
+    made = written(near.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("n")).join(hits, "qid").join(met, "qid"), "judged")
+    mean = made.agg((F.avg("hits") >= 9.5).alias("all_good"))
+    return made.crossJoin(F.broadcast(mean)).select("qid", "n", "n_cells", (F.col("hits") >= 7).alias("good"), "all_good")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS norm FROM embeddings")
 def vector_norms(spark, d):
     return vectors(spark, d).select(F.col("chunk_id").alias("vec_id"), F.round(scalars.norm(F.col("embedding")), 5).alias("norm"))
@@ -254,8 +283,59 @@ def flatten_vectors(spark, d):
     return flat_vectors(rows).select("chunk_id", F.col("embedding")[0].alias("vec_id"))
 
 
+def served(spark: SparkSession, d: str) -> SegmentedIndex:
+    """The saved index of the texts: written by the first question, and read by all later ones as long as the table's files are the same."""
+    files = sorted(Store(spark, f"{d}/documents.parquet").files())
+    index = SegmentedIndex(spark, f"{folder(spark)}/brindle/served/{hashlib.sha256(repr(files).encode()).hexdigest()}")
+    if not index.segments():
+        index.add(texts(spark, d))
+    return index
+
+
+@query(f"WITH {S_TERMS}, {S_INDEX}, r AS ({s_ranked(S_BM25, 10)}) {S_SHOWN} FROM r")
+def served_top10(spark, d):
+    """One question to a saved index."""
+    return shown(served(spark, d).search(question(spark)))
+
+
+@query(f"WITH bt AS ({s_tokens('benchmark', 'item_id')}), q AS (SELECT item_id AS qid, unnest(range(0, len(t))) AS pos, unnest(t) AS term FROM bt), {S_INDEX}, r AS ({s_ranked(S_BM25, 10)}) {S_SHOWN} FROM r")
+def served_batch(spark, d):
+    """Many questions to a saved index."""
+    return shown(served(spark, d).search(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")))
+
+
+S_EDITED = "documents AS (SELECT doc_id, CASE WHEN doc_id % 11 = 1 THEN text || ' hewh thaner' ELSE text END AS text FROM main.documents WHERE doc_id % 7 <> 0)"
+
+
+@query(f"WITH {S_TERMS}, {S_EDITED}, {S_INDEX}, r AS ({s_ranked(S_BM25, 10)}) {S_SHOWN} FROM r")
+def segments_edited_top10(spark, d):
+    """A question after a deletion vector, an edit in a segment of its own and a merge of what is due: the scores of a full rebuild."""
+    index = SegmentedIndex(spark, f"{folder(spark)}/brindle/{uuid.uuid4().hex}/edited")
+    own = texts(spark, d)
+    index.add(own)
+    index.delete(own.where("chunk_id % 7 = 0"))
+    old = own.where("chunk_id % 7 <> 0 AND chunk_id % 11 = 1")
+    index.update(old, old.withColumn("text", F.concat("text", F.lit(" hewh thaner"))))
+    index.merge()
+    return shown(index.search(question(spark)))
+
+
+@query(f"WITH {S_EDITED}, tok AS ({s_tokens('documents', 'doc_id')}) SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl FROM tok")
+def segments_stats(spark, d):
+    """Statistics as sums over segments and deletion vectors, read from the file that names them."""
+    index = SegmentedIndex(spark, f"{folder(spark)}/brindle/{uuid.uuid4().hex}/stats")
+    own = texts(spark, d)
+    for part in (0, 1):
+        index.add(own.where(F.col("chunk_id") % 2 == part))
+    index.delete(own.where("chunk_id % 7 = 0"))
+    old = own.where("chunk_id % 7 <> 0 AND chunk_id % 11 = 1")
+    index.update(old, old.withColumn("text", F.concat("text", F.lit(" hewh thaner"))))
+    n, avgdl = index.stats()
+    return spark.createDataFrame([(n, round(avgdl, 6))], "n long, avgdl double")
+
+
 def routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lex = written(bm25.search_texts(texts(spark, d), question(spark), fusion.ROUTE_K), "bm25")
+    lex = written(served(spark, d).search(question(spark), fusion.ROUTE_K), "bm25")
     q = vectors(spark, d).where("chunk_id = 0").select(F.lit(0).cast("long").alias("qid"), "embedding")
     return lex, written(dense.search_flat(vectors(spark, d), q, fusion.ROUTE_K), "dense")
 

@@ -180,7 +180,7 @@ class SegmentedIndex:
                 # chunks without a word have a length alone
                 parts += [words, live.where("dl = 0").select("chunk_id", "dl", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))]
             merged = self._write(written(reduce(DataFrame.unionByName, parts), "merged"))
-            self._publish([*(s for s in before if s["name"] not in names), *([merged] if merged["n"] else [])], before)
+            self._publish([*(s for s in before if s["name"] not in names), *([merged] if merged["n"] else [])], [*before, merged])
             done += len(due)
         return done
 
