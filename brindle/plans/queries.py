@@ -433,6 +433,17 @@ def delete_rebuild(spark, d):
     return bm25.build_written_index(made).lengths.join(made.select("chunk_id", "doc_id"), "chunk_id").select("chunk_id", "doc_id", "dl")
 
 
+@query(f"""WITH {S_CHUNKS.replace('WHERE text IS NOT NULL', 'WHERE text IS NOT NULL AND doc_id NOT IN (3, 8, 9, 40)')} SELECT chunk_id, doc_id, "begin", "end", i1 - i0 + 1 AS dl FROM ch""")
+def delete_from_snapshot(spark, d):
+    """Deletions named in a snapshot's small file: chunks and ids are those of a full rebuild."""
+    snapshot = saved_index(spark, corpus(spark, d))
+    for doc in (8, 3, 40, 9):
+        own = snapshot.load_base()[1].where(F.col("doc_id") == doc).agg(F.min("chunk_id").alias("a"), F.max("chunk_id").alias("b")).first()
+        snapshot.mark([doc], [[own["a"], own["b"] + 1]] if own["a"] is not None else [])
+    _, made, index = snapshot.load()
+    return made.join(index.lengths, "chunk_id").select("chunk_id", "doc_id", "begin", "end", F.col("dl").cast("long").alias("dl"))
+
+
 @query(f"SELECT doc_id, doc_id % 7 = 0 AS deleted, strlen(text) AS n_bytes, {S_PATH} AS path FROM documents")
 def doc_list(spark, d):
     return corpus_diff.doc_list(corpus(spark, d).withColumn("deleted", F.col("doc_id") % 7 == 0))
@@ -619,7 +630,7 @@ def index_snapshot_chunks(spark, d):
     return saved_index(spark, corpus(spark, d)).load()[1].select("chunk_id", "doc_id", "begin", "end")
 
 
-@query("SELECT * FROM (VALUES ('none', 'NOT_FOUND'), ('same', 'OK'), ('other size', 'BAD_PARAMS'), ('edited', 'CORPUS_CHANGED'), ('tombstone', 'OK'), ('no json', 'BAD_MAGIC'), ('other magic', 'BAD_MAGIC'), ('other pipeline', 'BAD_PIPELINE'), ('other format', 'BAD_FORMAT'), ('lost rows', 'BAD_FORMAT')) t(made, status)")
+@query("SELECT * FROM (VALUES ('none', 'NOT_FOUND'), ('same', 'OK'), ('other size', 'BAD_PARAMS'), ('edited', 'CORPUS_CHANGED'), ('tombstone', 'OK'), ('no json', 'BAD_MAGIC'), ('other magic', 'BAD_MAGIC'), ('other pipeline', 'BAD_PIPELINE'), ('other format', 'BAD_FORMAT'), ('lost rows', 'BAD_FORMAT'), ('a file cut short', 'BAD_FORMAT'), ('a folder in its place', 'IO_ERROR')) t(made, status)")
 def snapshot_states(spark, d):
     docs = corpus(spark, d).where("content is not null")
     none = IndexSnapshot(spark, f"{folder(spark)}/brindle/{uuid.uuid4().hex}/index")
@@ -629,9 +640,22 @@ def snapshot_states(spark, d):
     for made, content in (("no json", b"{"), ("other magic", good | {"magic": "x"}), ("other pipeline", good | {"pipeline": 99}), ("other format", good | {"format": 99}), ("lost rows", good | {"prints": good["prints"] | {"lengths": [0, 0]}})):
         s.store.replace("CURRENT", content if isinstance(content, bytes) else json.dumps(content).encode())
         out.append((made, s.validate(docs)))
+    s.store.replace("CURRENT", json.dumps(good).encode())
+    cut_short(s, good["version"])
+    out.append(("a file cut short", s.validate(docs)))
+    s.store.delete("CURRENT")
+    s.store.replace("CURRENT/inside", b"")
+    out.append(("a folder in its place", s.validate(docs)))
     return spark.createDataFrame([(made, status.name) for made, status in out], "made string, status string")
 
 
+def cut_short(snapshot: IndexSnapshot | VectorSnapshot, version: str) -> None:
+    """Leave the first half of one of a snapshot's files."""
+    name = sorted(path.split(f"/{version}/")[1] for path, _ in snapshot.store.files(version) if path.endswith(".parquet") and "/files/" not in path)[0]
+    content = snapshot.store.read(f"{version}/{name}")
+    snapshot.store.replace(f"{version}/{name}", content[: len(content) // 2])
+
+
 def saved_vectors(spark: SparkSession, d: str) -> VectorSnapshot:
     rows = vectors(spark, d).groupBy(F.col("label").cast("string").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "embedding"))), lambda x: x["embedding"]).alias("vectors"))
     snapshot = VectorSnapshot(spark, f"{folder(spark)}/brindle/{uuid.uuid4().hex}/vectors")
@@ -646,13 +670,19 @@ def vector_snapshot(spark, d):
     return rows.select("chunk_id", F.round(F.element_at("embedding", 1).cast("double"), 4).alias("first"), F.round(F.element_at("embedding", -1).cast("double"), 4).alias("last"))
 
 
-@query("SELECT * FROM (VALUES ('none', 'NOT_FOUND'), ('same', 'OK'), ('other model', 'BAD_MODEL'), ('other policy', 'BAD_MODEL'), ('other width', 'BAD_MODEL'), ('other pipeline', 'BAD_FORMAT')) t(made, status)")
+@query("SELECT * FROM (VALUES ('none', 'NOT_FOUND'), ('same', 'OK'), ('other model', 'BAD_MODEL'), ('other policy', 'BAD_MODEL'), ('other width', 'BAD_MODEL'), ('other pipeline', 'BAD_FORMAT'), ('no magic', 'BAD_MAGIC'), ('a file cut short', 'BAD_FORMAT')) t(made, status)")
 def vector_snapshot_states(spark, d):
     s = saved_vectors(spark, d)
     none = VectorSnapshot(spark, f"{folder(spark)}/brindle/{uuid.uuid4().hex}/vectors")
     out = [("none", none.load(Identity("m", "p"))), ("same", s.load(Identity("m", "p"))), ("other model", s.load(Identity("x", "p"))), ("other policy", s.load(Identity("m", "x"))), ("other width", s.load(Identity("m", "p", 7)))]
     s.store.replace("CURRENT", json.dumps(json.loads(s.store.read("CURRENT")) | {"pipeline": 99}).encode())
     out.append(("other pipeline", s.load(Identity("m", "p"))))
+    good = json.loads(s.store.read("CURRENT")) | {"pipeline": 1}
+    s.store.replace("CURRENT", json.dumps({k: v for k, v in good.items() if k != "magic"}).encode())
+    out.append(("no magic", s.load(Identity("m", "p"))))
+    s.store.replace("CURRENT", json.dumps(good).encode())
+    cut_short(s, good["version"])
+    out.append(("a file cut short", s.load(Identity("m", "p"))))
     return spark.createDataFrame([(made, status.name) for made, (status, _) in out], "made string, status string")
 
 

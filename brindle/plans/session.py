@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bm25, chunking, context, corpus_diff, dense, fusion
 from ..sources import providers
 from ..sources.corpus import load_documents
-from ..sources.snapshot import Identity, IndexSnapshot, Status, VectorSnapshot
+from ..sources.snapshot import Identity, IndexSnapshot, Status, VectorSnapshot, index_without, without
 from .workspace import dense_ids, written
 
+#: What a provider, a task of its or a vector of another width raises; anything else is a fault of ours and not hidden.
+DENSE_ERRORS = (providers.ProviderError, PySparkException, Py4JJavaError, OSError, ValueError)
+#: Ranges of chunk ids that a session leaves out before it builds anew.
+MOST_GONE = 64
+
 
 @dataclass
 class Answer:
@@ -56,9 +63,10 @@ class RetrievalSession:
         self.docs = load_documents(spark, folder)
         self.status = self.index_cache.validate(self.docs)
         self.inherited = 0
-        loaded = self.index_cache.load() if self.status is Status.OK else None
+        loaded = self.index_cache.load_base() if self.status is Status.OK else None
         if loaded:
-            self.docs, self.chunks, self.index = loaded
+            self.docs, *self._base, self._gone = loaded
+            self._apply()
         else:
             # tombstones follow paths, whatever made the snapshot unusable, as long as its documents can be read
             before = self.index_cache.documents()
@@ -71,11 +79,15 @@ class RetrievalSession:
         self._build_dense()
 
     def rebuild(self) -> None:
-        self.chunks = written(chunking.chunk_documents(self.docs), "chunks")
-        made = bm25.build_index(self.chunks)
-        postings, lengths = written(made.postings, "postings"), written(made.lengths, "lengths")
-        self.index = bm25.Index(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), bm25.corpus_stats(lengths))
-        self.saved = self.index_cache.save(self.docs, self.chunks, self.index)
+        chunks = written(chunking.chunk_documents(self.docs), "chunks")
+        self._base, self._gone = [chunks, bm25.build_written_index(chunks)], []
+        self._apply()
+        self.saved = self.index_cache.save(self.docs, *self._base)
+
+    def _apply(self) -> None:
+        """Chunks and index as they would be without the chunks that are gone."""
+        chunks, index = self._base
+        self.chunks, self.index = without(chunks, self._gone), index_without(index, self._gone)
 
     def _build_dense(self) -> None:
         """Vectors for the dense route; any failure leaves the session with the lexical route."""
@@ -90,20 +102,48 @@ class RetrievalSession:
             self.reused = counts.first()
             self.vectors = flat_vectors(rows)
             self.vector_cache.save(Identity(identity.model_id, identity.embedding_policy, dense.dimension(self.vectors)), rows)
-        except Exception as e:
+        except DENSE_ERRORS as e:
             self.vectors, self.dense_error = None, str(e)
 
     def documents(self) -> DataFrame:
         return corpus_diff.doc_list(self.docs).orderBy("doc_id")
 
     def delete(self, doc_id: int) -> None:
-        """Mark a document as deleted and rebuild; vectors of the others are reused."""
+        """Mark a document as deleted: its range of chunk ids is left out from now on, and nothing is built or written anew but the snapshot's small file. Vectors of the others are reused.
+
+        After MOST_GONE deletions everything is built anew, so that expressions stay small.
+        """
         if self.docs.where(F.col("doc_id") == doc_id).isEmpty():
             raise KeyError(doc_id)
-        self.docs = written(corpus_diff.tombstone(self.docs, doc_id), "documents")
-        self.rebuild()
+        self.docs = corpus_diff.tombstone(self.docs, doc_id)
+        r = self._base[0].where(F.col("doc_id") == doc_id).agg(F.min("chunk_id").alias("a"), F.max("chunk_id").alias("b")).first()
+        own = [[r["a"], r["b"] + 1]] if r["a"] is not None else []
+        self._gone = sorted([*self._gone, *(g for g in own if g not in self._gone)])
+        if len(self._gone) > MOST_GONE:
+            self.docs = written(self.docs, "documents")
+            self.rebuild()
+        else:
+            self._apply()
+            self.saved = self.index_cache.mark([doc_id], own)
         self._build_dense()
 
+    def command(self, line: str) -> DataFrame | None:
+        """A console's line: `list` gives the documents, `del <doc id>` deletes one and gives its line; None for anything else, which is a question.
+
+        ValueError where the id is no number, KeyError where no document has it; a document deleted already stays as it is.
+        """
+        if line == "list":
+            return self.documents()
+        if not line.startswith("del "):
+            return None
+        number = line[4:]
+        if not (number.isascii() and number.isdigit()):
+            raise ValueError("usage: del <doc id>")
+        own = corpus_diff.doc_list(self.docs.where(F.col("doc_id") == int(number)))
+        if own.where("deleted").isEmpty():
+            self.delete(int(number))
+        return corpus_diff.doc_list(self.docs.where(F.col("doc_id") == int(number)))
+
     def search(self, queries: DataFrame, shown: int = fusion.SHOWN) -> Answer:
         lexical = bm25.search(self.index, queries, fusion.ROUTE_K)
         near, error = None, self.dense_error
@@ -111,7 +151,7 @@ class RetrievalSession:
             try:
                 asked = written(providers.embed_queries(queries, self.embedder), "queries")
                 near = dense.search_flat(self.vectors, asked, fusion.ROUTE_K)
-            except Exception as e:  # this batch is answered by the lexical route
+            except DENSE_ERRORS as e:  # this batch is answered by the lexical route
                 near, error = None, str(e)
         return Answer(lexical, near, fusion.hybrid(lexical, near, shown=shown), dense_error=error)
 

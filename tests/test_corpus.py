@@ -11,7 +11,7 @@ from brindle.plans.workspace import Store, dense_ids, first_ids
 from brindle.sources.corpus import header_of, speaker_of
 from brindle.sources import providers
 from brindle.sources.corpus import load_documents, read_chunk_lines, read_log, write_chunk_lines
-from brindle.sources.snapshot import POINTER, Identity, IndexSnapshot, Status, VectorSnapshot
+from brindle.sources.snapshot import POINTER, Identity, IndexSnapshot, Status, VectorSnapshot, file_prints
 from brindle.streaming.ingest import Ingest, read_versions
 
 
@@ -236,7 +236,10 @@ def test_session(spark, tmp_path):
     assert 1 not in {r.doc_id for r in s.chunks.collect()} and s.documents().where("deleted").first().doc_id == 1
     with pytest.raises(KeyError):
         s.delete(77)
+    whole = bm25.build_index(chunking.chunk_documents(s.docs))
+    assert sorted(map(tuple, s.index.postings.collect())) == sorted(map(tuple, whole.postings.collect())) and s.index.stats.first() == whole.stats.first()
     again = RetrievalSession(spark, root, cache, providers.HashEmbedder)
+    assert sorted(map(tuple, again.chunks.collect())) == sorted(map(tuple, s.chunks.collect()))
     assert again.status is Status.OK and again.reused.n_embedded == 0 and again.docs.where("deleted").count() == 1
     (tmp_path / "data" / "web" / "new.md").write_bytes(b"fresh words")
     third = RetrievalSession(spark, root, cache, lambda: providers.OllamaEmbedder(providers.EmbedderConfig("m", "http://127.0.0.1:1", 1)))
@@ -245,6 +248,65 @@ def test_session(spark, tmp_path):
     assert only.dense is None and only.prompts.count() == 0 and third.ask(q).prompts.count() == 2
 
 
+def test_deletions_write_one_small_file(spark, tmp_path, monkeypatch):
+    """Deleting leaves every table as it is until MOST_GONE ranges are gone; results are those of a rebuild all along, also after the session is opened again."""
+    from brindle.plans import session
+
+    monkeypatch.setattr(session, "MOST_GONE", 2)
+    data = tmp_path / "data"
+    data.mkdir()
+    for i in range(6):
+        (data / f"{i}.md").write_text(f"shared word{i} " * (300 if i in (1, 4) else 3))
+    (data / "6.md").write_text("")
+    s = RetrievalSession(spark, str(data), str(tmp_path / "cache"))
+    q = spark.createDataFrame([(0, "shared word2 word5")], "qid long, text string")
+
+    def tables():
+        return {p.name: p.stat().st_size for p in (tmp_path / "cache" / "index").glob("v-*/*/*.parquet")}
+
+    before = tables()
+    for line, rewritten in (("del 1", False), ("del 6", False), ("del 4", False), ("del 1", False), ("del 0", True)):
+        assert s.command(line).first().deleted and s.saved
+        assert (tables() != before) == rewritten
+        live = chunking.chunk_documents(s.docs)
+        assert sorted(map(tuple, s.chunks.collect())) == sorted(map(tuple, live.collect()))
+        want = bm25.search(bm25.build_index(live), q)
+        for own in (s, RetrievalSession(spark, str(data), str(tmp_path / "cache"))):
+            assert own.status is Status.OK if own is not s else True
+            assert sorted(map(tuple, own.search(q).bm25.collect())) == sorted(map(tuple, want.collect()))
+    assert s.command("list").where("deleted").count() == 4 and s.command("what is shared") is None
+    with pytest.raises(ValueError):
+        s.command("del x")
+    with pytest.raises(KeyError):
+        s.command("del 99")
+
+
+def test_opening_reads_no_postings(spark, tmp_path, monkeypatch):
+    """Damage that changes a file's size is seen at once, other damage in depth; equal rows do not cancel."""
+    docs, chunks, index = built(spark)
+    snap = IndexSnapshot(spark, str(tmp_path / "s"))
+    assert snap.save(docs, chunks, index)
+    part = next((tmp_path / "s").glob("v-*/postings/*.parquet"))
+    good = part.read_bytes()
+    (part.parent / f".{part.name}.crc").unlink()
+    bad = bytearray(good)
+    for i in range(4, len(bad) // 2):
+        bad[i] ^= 0x55
+    part.write_bytes(bytes(bad))
+    assert snap.validate(docs) is Status.OK and snap.load() is not None  # no row of it was read
+    assert snap.validate(docs, deep=True) is Status.BAD_FORMAT and snap.load(deep=True) is None
+    part.write_bytes(good + b"x")
+    assert snap.validate(docs) is Status.BAD_FORMAT
+    part.write_bytes(good)
+    assert snap.validate(docs, deep=True) is Status.OK and snap.load(deep=True) is not None
+    twice = spark.createDataFrame([(1,), (1,), (2,)], "x int")
+    other = spark.createDataFrame([(3,), (3,), (2,)], "x int")
+    for i, df in enumerate((twice, other)):
+        df.coalesce(1).write.parquet(str(tmp_path / f"t{i}"))
+    prints = [file_prints(spark.read.parquet(str(tmp_path / f"t{i}")), "t").first()["print"] for i in (0, 1)]
+    assert prints[0] != prints[1]
+
+
 def test_score_text(spark):
     values = [0.016393442622950821, 12.5, 0.00001234567, 1234567.0, 0.5, 7.0, 100.0, 0.0, -0.25, 999999.5, 0.0001, 1e30, None]
     got = [r.t for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", fusion.score_text("x").alias("t")).orderBy("i").collect()]
