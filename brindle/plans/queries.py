@@ -731,9 +731,8 @@ def evaluation_lines(spark, d):
     return spark.read.schema("qid long, rank int").json(to)
 
 
-@query("SELECT conv_id * 1000 + turn AS line, CAST(TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR AS VARCHAR) AS at, role AS speaker, CASE WHEN turn % 3 = 0 THEN 't' || turn ELSE '' END AS tag, length(regexp_replace(text, '\\s+', ' ', 'g')) AS n_chars FROM conversations WHERE text IS NOT NULL")
-def log_records(spark, d):
-    """A log written as lines of the record format, with lines before its first record, and parsed."""
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(line_no, line): the conversations in the record format, after a line that is none."""
     said = table(spark, d, "conversations").where("text is not null")
     c, place = F.col("turn"), (F.col("conv_id") * 1000 + F.col("turn")) * 3
     when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600), "yyyy-MM-dd HH:mm")
@@ -741,10 +740,25 @@ def log_records(spark, d):
     head = F.concat(F.when(c % 2 == 0, "## [").otherwise("##["), when, F.when(c % 5 == 0, ":59] ").otherwise("]"), F.col("role"), tag)
     lines = said.select(place.alias("line_no"), head.alias("line")).unionByName(said.select((place + 1).alias("line_no"), F.regexp_replace("text", r"\s+", " ").alias("line")))
     lines = lines.unionByName(spark.range(1).select(F.lit(-5).cast("long").alias("line_no"), F.lit("no record yet").alias("line")))
-    out = corpus_io.parse_log(lines)
+    return lines
+
+
+@query("SELECT conv_id * 1000 + turn AS line, CAST(TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR AS VARCHAR) AS at, role AS speaker, CASE WHEN turn % 3 = 0 THEN 't' || turn ELSE '' END AS tag, length(regexp_replace(text, '\\s+', ' ', 'g')) AS n_chars FROM conversations WHERE text IS NOT NULL")
+def log_records(spark, d):
+    """A log written as lines of the record format, with lines before its first record, and parsed."""
+    out = corpus_io.parse_log(log_lines(spark, d))
     return out.select((F.col("line_no") / 3).cast("long").alias("line"), F.date_format("when", "yyyy-MM-dd HH:mm:ss").alias("at"), "speaker", "tag", F.length(F.element_at("body", 1)).cast("long").alias("n_chars"))
 
 
+@query("SELECT 2 * row_number() OVER (ORDER BY conv_id, turn) AS line, CAST(TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR AS VARCHAR) AS at, role AS speaker, CASE WHEN turn % 3 = 0 THEN 't' || turn ELSE '' END AS tag, length(regexp_replace(text, '\\s+', ' ', 'g')) AS n_chars FROM conversations WHERE text IS NOT NULL")
+def log_file_records(spark, d):
+    """The same log written as files that follow one another, and read in splits: lines have their numbers over all of them."""
+    to = f"{folder(spark)}/brindle/{uuid.uuid4().hex}/log"
+    log_lines(spark, d).orderBy("line_no").select("line").write.text(to)
+    out = corpus_io.read_log(spark, to)
+    return out.select(F.col("line_no").alias("line"), F.date_format("when", "yyyy-MM-dd HH:mm:ss").alias("at"), "speaker", "tag", F.length(F.element_at("body", 1)).cast("long").alias("n_chars"))
+
+
 @query("SELECT vec_id AS qid, 10 AS n, true AS good FROM embeddings WHERE vec_id % 20 = 0")
 def hnsw_gate(spark, d):
     """For each query, how many results the graph gives, and whether at least 85 % of the exact ones are among them."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import has_extension
-from ..plans.workspace import Store, dense_ids
+from ..plans.workspace import Store, dense_ids, written
 
 #: What stands around a record's time and its speaker's tag: fixed values of the format.
 HEADING, OPENING, CLOSING = "##", "(（", ")）"
@@ -86,22 +86,37 @@ def speaker_of(who: Column) -> Column:
 def parse_log(lines: DataFrame) -> DataFrame:
     """(line_no, when, speaker, tag, body) of the records in lines (line_no, line) of one log.
 
-    A header line begins a record; lines before the first are dropped. A log is one file, read in order, so its lines share one window.
+    A header line begins a record; lines before the first are dropped.
     """
-    is_header = header_of(F.col("line")).isNotNull()
-    order = Window.partitionBy(F.lit(0)).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumn("head", is_header).withColumn("record", F.sum(F.col("head").cast("int")).over(order)).where("record > 0")
-    grouped = marked.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("line_no", "head", "line"))).alias("rows"))
-    first = F.col("rows")[0]
-    head = header_of(first["line"])
-    said = speaker_of(head["who"])
-    when = F.try_to_timestamp(F.concat_ws(" ", head["date"], head["time"]), F.lit("yyyy-MM-dd HH:mm"))
-    body = F.transform(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), lambda r: r["line"])
-    return grouped.select(first["line_no"].alias("line_no"), when.alias("when"), said["speaker"].alias("speaker"), said["tag"].alias("tag"), F.when(F.size("rows") > 1, body).otherwise(F.array().cast("array<string>")).alias("body"))
+    ranked = written(lines.select("line_no", "line").orderBy("line_no").withColumn("_row", F.monotonically_increasing_id()), "lines")
+    return records(ranked.select(F.shiftright("_row", 33).alias("block"), "line_no", "line"))
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """The records of lines (block, line_no, line), whose blocks are runs of lines that follow one another.
+
+    Each block finds its lines' headers by itself; the last header before a block is a running maximum over the blocks, one row each.
+    """
+    marked = lines.withColumn("head", header_of(F.col("line")))
+    own = F.when(F.col("head").isNotNull(), F.col("line_no"))
+    before = Window.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = marked.groupBy("block").agg(F.min("line_no").alias("begin"), F.max(own).alias("last")).select("block", F.max("last").over(before).alias("carried"))
+    inside = Window.partitionBy("block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marked.withColumn("record", F.last(own, ignorenulls=True).over(inside)).join(blocks, "block")
+    placed = placed.withColumn("record", F.coalesce("record", "carried")).where("record is not null")
+    is_head = F.col("line_no") == F.col("record")
+    grouped = placed.groupBy("record").agg(F.max(F.when(is_head, F.col("head"))).alias("head"), F.array_sort(F.collect_list(F.when(~is_head, F.struct("line_no", "line")))).alias("rows"))
+    said = speaker_of(F.col("head.who"))
+    when = F.try_to_timestamp(F.concat_ws(" ", "head.date", "head.time"), F.lit("yyyy-MM-dd HH:mm"))
+    return grouped.select(F.col("record").alias("line_no"), when.alias("when"), said["speaker"].alias("speaker"), said["tag"].alias("tag"), F.transform("rows", lambda r: r["line"]).alias("body"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The records of one log file."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "line"))
-    return parse_log(lines.select((F.col("pos") + 1).alias("line_no"), "line"))
+    """The records of one log: a file, or a folder whose files follow one another by name. It is read in splits; a line's number is its place in its split and the lines of the splits before, one row each."""
+    row = F.monotonically_increasing_id()  # a split's lines are in one task, in order
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select(at.alias("at"), row.alias("row"), F.col("value").alias("line"))
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("at").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    splits = splits.select("at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return records(lines.join(splits, "at").select(F.col("at").alias("block"), (F.col("before") + F.col("row") - F.col("first") + 1).alias("line_no"), "line"))

@@ -104,6 +104,36 @@ def test_log(spark, tmp_path):
     assert [(r.speaker, r.n) for r in logquery.speaker_tally(log).collect()] == [("A", 2), ("B", 1)]
 
 
+def test_log_in_many_splits(spark, tmp_path):
+    """Records, numbers and bodies are those of a walk over the lines, wherever a split begins; some records reach over splits."""
+    lines, n = ["no record yet"], 0
+    while len(lines) < 20000:
+        lines.append(f"## [2024-01-02 03:{n % 60:02d}] S{n % 7}")
+        lines += [f"line {n} {k} " + "x" * (k % 50) for k in range((n * 37) % 11 if n % 100 else 1500)]
+        n += 1
+    whole = "\n".join(lines) + "\n"
+    (tmp_path / "log.md").write_text(whole)
+    (tmp_path / "parts").mkdir()
+    for i in range(4):
+        (tmp_path / "parts" / f"part-{i}").write_text("\n".join(lines[i * 5000 : (i + 1) * 5000 if i < 3 else None]) + "\n")
+    want, record = {}, None
+    for i, line in enumerate(lines):
+        if line.startswith("##"):
+            record = want[i + 1] = []
+        elif record is not None:
+            record.append(line)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for path in ("log.md", "parts"):
+            log = read_log(spark, str(tmp_path / path))
+            assert spark.read.text(str(tmp_path / path)).rdd.getNumPartitions() > 10
+            assert {r.line_no: r.body for r in log.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_dense_ids(spark):
     df = spark.range(1000).select(F.hash("id").alias("h")).repartition(7)
     rows = dense_ids(df, "n", "h").orderBy("n").collect()
