@@ -37,11 +37,16 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def usable(v: Column) -> Column:
+    """Whether a vector can be brought to unit length: not null, empty or zero, and every component finite."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(v) > 0) & finite & (norm(v) > 0), F.lit(False))
+
+
 def unit(v: Column) -> Column:
     """The vector at unit length, as floats; raises for an empty, zero or non-finite one."""
     n = norm(v)
-    good = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (n > 0)
-    return F.when(good, F.transform(v, lambda x: (x.cast("double") / n).cast("float"))).otherwise(F.raise_error(F.lit("a vector is empty, zero or not finite")).cast("array<float>"))
+    return F.when(usable(v), F.transform(v, lambda x: (x.cast("double") / n).cast("float"))).otherwise(F.raise_error(F.lit("a vector is empty, zero or not finite")).cast("array<float>"))
 
 
 def timestamp(text: Column) -> Column:
@@ -64,6 +69,23 @@ def char_offset(content: Column, byte: Column) -> Column:
     return F.length(F.decode(F.substring(F.encode(content, "UTF-8"), F.lit(1), byte), "UTF-8"))
 
 
+def utf16_length(text: Column) -> Column:
+    """Code units of a text in UTF-16: a character beyond U+FFFF has two."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def utf16_offset(content: Column, byte: Column) -> Column:
+    """How many code units of UTF-16 stand before a byte offset: where an editor puts its cursor."""
+    return utf16_length(F.decode(F.substring(F.encode(content, "UTF-8"), F.lit(1), byte), "UTF-8"))
+
+
+def escaped(text: Column) -> Column:
+    """A text as it stands in HTML."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
 def fnv1a64_bytes(contents: list[bytes]) -> np.ndarray:
     """FNV-1a of each, as unsigned 64-bit numbers; all contents advance together, byte by byte."""
     h = np.full(len(contents), FNV_OFFSET, np.uint64)

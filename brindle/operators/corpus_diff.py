@@ -53,6 +53,14 @@ def category_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy(category(F.col("path")).alias("category")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("deleted").cast("long")).alias("n_deleted"))
 
 
+def document_tree(docs: DataFrame) -> DataFrame:
+    """(place, category, path, deleted): the documents as a tree shows them, categories and then paths in ascending order of bytes."""
+    from ..functions.scalars import category
+    from ..plans.workspace import dense_ids
+
+    return dense_ids(docs.select(category(F.col("path")).alias("category"), "path", "deleted"), "place", "category", "path").select("place", "category", "path", "deleted")
+
+
 def reuse_plan(docs: DataFrame, cache: DataFrame) -> DataFrame:
     """docs (path, content_hash, n_chunks) with reuse: whether cache (path, content_hash, n_chunks) has the same path, hash and number of chunks."""
     known = cache.select("path", "content_hash", "n_chunks", F.lit(True).alias("_known")).distinct()

@@ -21,7 +21,7 @@ from ..sources import corpus as corpus_io
 from ..sources import providers
 from ..sources.segments import SegmentedIndex
 from ..sources.snapshot import Identity, IndexSnapshot, VectorSnapshot
-from .session import flat_vectors
+from .session import doc_vectors, flat_vectors
 from .workspace import Store, folder, written
 
 QUESTION = "The hewh of thaner, the"
@@ -778,6 +778,71 @@ def path_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", scalars.fnv1a64(path()).alias("hash"))
 
 
+ASTRAL_FROM, ASTRAL_TO = "aeit", "😀é世𝒜"
+
+
+@query(f"WITH {S_CHUNKS}, g AS (SELECT x.doc_id, x.i, sum(length(x.gap) + length(x.tok) + length(regexp_replace(x.gap, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))) OVER (PARTITION BY x.doc_id ORDER BY x.i) - length(x.tok) AS at FROM x) SELECT ch.chunk_id, CAST(g.at AS BIGINT) AS utf16_begin FROM ch JOIN g ON g.doc_id = ch.doc_id AND g.i = ch.i0".replace("WITH ", f"WITH documents AS (SELECT doc_id, translate(text, '{ASTRAL_FROM}', '{ASTRAL_TO}') AS text FROM main.documents), ", 1))
+def utf16_offsets(spark, d):
+    """Where chunks begin in UTF-16, in texts with characters of one and of two code units."""
+    docs = corpus(spark, d).withColumn("content", F.translate("content", ASTRAL_FROM, ASTRAL_TO))
+    made = chunking.chunk_documents(docs).join(docs.select("doc_id", "content"), "doc_id")
+    return made.select("chunk_id", scalars.utf16_offset(F.col("content"), F.col("begin")).cast("long").alias("utf16_begin"))
+
+
+@query(rf"""WITH an AS ({S_ANSWERS}), t AS (SELECT qid, n_used, replace(replace(replace(replace('<b> & "x"' || chr(10) || answer || ' [007] [00000]', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS h FROM an),
+z AS (SELECT qid, n_used, list_zip(regexp_split_to_array(h, '\[[0-9]{{1,5}}\]'), list_transform(regexp_extract_all(h, '\[([0-9]{{1,5}})\]', 1), lambda s: CAST(s AS INTEGER))) AS p FROM t)
+SELECT qid, replace(array_to_string(list_transform(p, lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' WHEN x[2] BETWEEN 1 AND n_used THEN '<a href="cite:' || x[2] || '">[' || x[2] || ']</a>' ELSE '<span style="color:#b00020;">[' || x[2] || ']</span>' END), ''), chr(10), '<br>') AS html FROM z""")
+def answer_html(spark, d):
+    said = answers(spark, d).withColumn("answer", F.concat(F.lit('<b> & "x"\n'), "answer", F.lit(" [007] [00000]")))
+    return said.select("qid", context.answer_html(F.col("answer"), F.col("n_used")).alias("html"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY category, path) - 1 AS place, category, path, deleted FROM (SELECT coalesce(nullif(source, ''), '(root)') AS category, {S_PATH} AS path, doc_id % 7 = 0 AS deleted FROM documents)")
+def document_tree(spark, d):
+    return corpus_diff.document_tree(corpus(spark, d).withColumn("deleted", F.col("doc_id") % 7 == 0))
+
+
+@query(f"WITH {S_CHUNK_INDEX} SELECT row_number() OVER (ORDER BY term, doc_id) AS place, term, doc_id AS chunk_id FROM post")
+def snapshot_order(spark, d):
+    """Postings numbered as they stand in a snapshot's files: by term and chunk, in the order of bytes."""
+    s = saved_index(spark, corpus(spark, d))
+    rows = s.table(json.loads(s.store.read("CURRENT")), "postings").select("term", "chunk_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", F.coalesce(F.sum("n").over(sizes), F.lit(0)).alias("before"))
+    return rows.join(before, "file").select((F.col("before") + F.col("row") + 1).alias("place"), "term", "chunk_id")
+
+
+@query(f"WITH {S_CHUNKS.replace('WHERE text IS NOT NULL', 'WHERE text IS NOT NULL AND doc_id % 7 <> 0')} SELECT {S_PATH} AS path, count(c.doc_id) AS n_vectors, doc_id % 2 = 0 AS kept FROM documents d LEFT JOIN ch c USING (doc_id) WHERE doc_id % 7 <> 0 GROUP BY ALL HAVING count(c.doc_id) > 0")
+def vector_reuse(spark, d):
+    """Vectors of live documents' chunks: those of the cache as they are (marked here by their first component), the others embedded; deleted documents have none."""
+    docs = corpus(spark, d).withColumn("deleted", F.col("doc_id") % 7 == 0)
+    made = written(chunking.chunk_documents(docs), "chunks")
+    counts = made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    mark = F.array_repeat(F.array(F.lit(7.0).cast("float"), F.lit(0.0).cast("float")), F.col("n").cast("int"))
+    cache = docs.where("doc_id % 2 = 0").join(counts, "doc_id").select("path", F.xxhash64(F.col("content").cast("binary")).alias("content_hash"), mark.alias("vectors"))
+    rows, _ = doc_vectors(spark, docs, made, cache, providers.HashEmbedder)
+    return rows.where(F.size("vectors") > 0).select("path", F.size("vectors").cast("long").alias("n_vectors"), F.forall("vectors", lambda v: v[0] == 7.0).alias("kept"))
+
+
+@query(f"WITH {S_TERMS}, {S_INDEX}, r AS ({s_ranked(S_BM25, 10)}) SELECT r.rank AS n, r.chunk_id, {S_PATH} AS source, md5(coalesce(text, '')) AS text_md5 FROM r JOIN documents ON doc_id = chunk_id")
+def prompt_materials(spark, d):
+    """What of a question's results goes into its prompt: chunk, path and text, and its number there."""
+    docs = corpus(spark, d)
+    ranked = served(spark, d).search(question(spark))
+    found = fusion.described(ranked, docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("content").alias("text")), docs).select("qid", "rank", "chunk_id", F.col("path").alias("source"), "text")
+    used = context.build_prompts(question(spark), found, 1 << 30).select(F.explode("used").alias("u"))
+    return used.select("u.n", "u.chunk_id", "u.source", F.md5(F.col("u.text").cast("binary")).alias("text_md5"))
+
+
+@query("SELECT vec_id, vec_id % 6 NOT IN (1, 2, 3, 4) AS usable FROM embeddings")
+def usable_vectors(spark, d):
+    """Vectors made zero, empty, infinite or not a number cannot be brought to unit length."""
+    own, k = vectors(spark, d), F.col("chunk_id") % 6
+    first = lambda x: F.transform("embedding", lambda v, i: F.when(i == 0, F.lit(x).cast("float")).otherwise(v))
+    changed = F.when(k == 1, F.transform("embedding", lambda v: F.lit(0.0).cast("float"))).when(k == 2, F.slice("embedding", 1, 0)).when(k == 3, first(float("inf"))).when(k == 4, first(float("nan"))).otherwise(F.col("embedding"))
+    return own.select(F.col("chunk_id").alias("vec_id"), scalars.usable(changed).alias("usable"))
+
+
 # whole-text byte hashes and providers have no form in SQL, or none that ends: tests hold them against other means
 
 
