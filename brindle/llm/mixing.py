@@ -135,7 +135,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
