@@ -17,17 +17,24 @@ SYSTEM = (
 
 def block(number: F.Column) -> F.Column:
     """A material as it stands in the prompt."""
-    return F.concat(F.lit("["), number.cast("string"), F.lit("]\nSource: "), F.col("source"), F.lit("\n<<<BEGIN MATERIAL>>>\n"), F.col("text"), F.lit("\n<<<END MATERIAL>>>"))
+    own = lambda name: F.coalesce(F.col(name), F.lit(""))
+    return F.concat(F.lit("["), number.cast("string"), F.lit("]\nSource: "), own("source"), F.lit("\n<<<BEGIN MATERIAL>>>\n"), own("text"), F.lit("\n<<<END MATERIAL>>>"))
+
+
+#: Bytes of a material without source or text: so many at least has each in a prompt.
+LEAST_BLOCK = len("[1]\nSource: \n<<<BEGIN MATERIAL>>>\n\n<<<END MATERIAL>>>")
 
 
 def within_budget(materials: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
     """The first materials (qid, rank, chunk_id, source, text) of each query that fit, with n, block and used_bytes.
 
     The walk stops at the first block that would pass the budget; the first is always kept. Sizes are
-    positive, so a running sum says the same as the walk.
+    positive, so a running sum says the same as the walk. No more materials fit than smallest blocks do: the rest
+    of each task's are left behind before any is moved, whatever number a query has.
     """
     order = Window.partitionBy("qid").orderBy("rank")
-    out = materials.withColumn("n", F.row_number().over(order)).withColumn("block", block(F.col("n")))
+    out = materials.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(1, budget // LEAST_BLOCK))
+    out = out.withColumn("block", block(F.col("n")))
     out = out.withColumn("used_bytes", F.sum(F.octet_length("block")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return out.where((F.col("n") == 1) | (F.col("used_bytes") <= budget))
 

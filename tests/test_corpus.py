@@ -75,6 +75,24 @@ def test_prompts(spark):
     assert kept(200, "a", "b" * 500, "c") == [1]  # the walk stops
 
 
+def test_materials_beyond_the_budget_are_not_moved(spark):
+    """A query with many materials sends on no more than can fit, and those that fit are the same."""
+    n = 5000
+    many = spark.range(n, numPartitions=5).select(F.floor(F.col("id") / n).alias("qid"), (F.col("id") * 7 % n + 1).cast("int").alias("rank"), "id", F.lit("s").alias("source"), F.when(F.col("id") % 3 == 0, "x").alias("text")).withColumnRenamed("id", "chunk_id")
+    kept = context.within_budget(many, 1000)
+    sizes, used = [len(f"[{i}]\nSource: s\n<<<BEGIN MATERIAL>>>\n\n<<<END MATERIAL>>>") for i in range(1, n)], 0
+    text = {r["rank"]: r["text"] or "" for r in many.collect()}
+    want = []
+    for i, size in enumerate(sizes):
+        used += size + len(text[i + 1])
+        if i and used > 1000:
+            break
+        want.append((i + 1, used))
+    assert [(r.n, r.used_bytes) for r in kept.orderBy("n").collect()] == want and len(want) > 10
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # before the exchange and after it
+
+
 def test_citations(spark):
     a = spark.createDataFrame([(0, "see [1], [3] and [0]; [99999] [123456] [x]", 2), (1, "none", 5)], "qid long, answer string, n_used int")
     assert [(r.n, r.valid) for r in context.citations(a).orderBy("pos").collect()] == [(1, True), (3, False), (0, False), (99999, False)]
