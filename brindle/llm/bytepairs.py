@@ -22,7 +22,6 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
-import itertools
 import struct
 from collections.abc import Iterator
 
@@ -44,6 +43,9 @@ REMEMBERED, LONGEST, LOT = 1 << 18, 48, 1 << 16
 _SAFE = regex.compile(r"\S(?=\s)")
 
 
+_PACKED = [struct.Struct(f"<{n}i") for n in range(32)]
+
+
 def _field(number: int, payload: bytes) -> bytes:
     return _varint(number << 3 | 2) + _varint(len(payload)) + payload
 
@@ -125,7 +127,7 @@ class Codec:
         self.whole = {t: i for i, t in enumerate(self.tokens)}
         self.pattern = regex.compile(pattern)
         self.newer, self.strict = (regex.compile(newer), regex.compile(strict, regex.V1)) if newer else (None, self.pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids of a match, 32 bits each
 
     def _learn(self, new: set[str]) -> None:
         asked = []
@@ -134,9 +136,10 @@ class Codec:
             if token is None:
                 asked.append(m)
             else:
-                self.known[m] = (token,)
+                self.known[m] = _PACKED[1].pack(token)
         if asked:
-            self.known.update(zip(asked, map(tuple, self.sp.encode([mapped(m.encode()) for m in asked], num_threads=1))))
+            for m, ids in zip(asked, self.sp.encode([mapped(m.encode()) for m in asked], num_threads=1)):
+                self.known[m] = _PACKED[len(ids)].pack(*ids) if len(ids) < len(_PACKED) else np.asarray(ids, "<i4").tobytes()
 
     def _lots(self, text: str) -> Iterator[str]:
         at = 0
@@ -151,18 +154,26 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         out = []
         for lot in self._lots(text):
-            pattern = self.strict if self.newer and not lot.isascii() and self.newer.search(lot) else self.pattern
-            matches = pattern.findall(lot)
+            matches = (self.strict if self._has_newer(lot) else self.pattern).findall(lot)
             if len(self.known) > REMEMBERED:
                 self.known = {}
             new = set(matches).difference(self.known)
             if new:
                 self._learn(new)
-            out.append(np.fromiter(itertools.chain.from_iterable(map(self.known.__getitem__, matches)), np.int32))
+            out.append(b"".join(map(self.known.__getitem__, matches)))
             for m in new:
                 if len(m) > LONGEST:
                     del self.known[m]
-        return np.concatenate(out)
+        return np.frombuffer(b"".join(out), "<i4")
+
+    def _has_newer(self, text: str) -> bool:
+        if self.newer is None or text.isascii():
+            return False
+        try:
+            text.encode("latin-1")  # far quicker than a search, and none of these is newer
+            return False
+        except UnicodeEncodeError:
+            return self.newer.search(text) is not None
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) and ids.min() < 0:
