@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
 from collections.abc import Callable
 
@@ -843,6 +844,95 @@ def usable_vectors(spark, d):
     return own.select(F.col("chunk_id").alias("vec_id"), scalars.usable(changed).alias("usable"))
 
 
+class LengthEmbedder:
+    """A provider that SQL can follow: a text's length and 1, at unit length. Texts whose length a number divides are refused until the file named exists."""
+
+    model_id, policy = "length", "none"
+
+    def __init__(self, refuse: int = 0, until: str = ""):
+        self.refuse, self.until = refuse, until
+
+    def embed_documents(self, texts: list[str]) -> list[list[float]]:
+        if self.refuse and not os.path.exists(self.until) and any(len(t) % self.refuse == 0 for t in texts):
+            raise providers.ProviderError("refused")
+        return providers.checked_vectors([[float(len(t)), 1.0] for t in texts], len(texts))
+
+    def embed_query(self, text: str) -> list[float]:
+        return self.embed_documents([text])[0]
+
+
+class DigestGenerator:
+    """A provider that SQL can follow: it answers with the hash of what it was asked."""
+
+    model_id = "digest"
+
+    def chat(self, messages: list[providers.Message]) -> str:
+        return hashlib.md5(messages[-1].text.encode()).hexdigest()
+
+
+S_LENGTH = "round(CAST(CAST(length({0}) / sqrt(length({0}) * length({0}) + 1e0) AS FLOAT) AS DOUBLE), 5)"
+
+
+@query(f"SELECT doc_id AS chunk_id, {S_LENGTH.format('text')} AS x FROM documents WHERE text IS NOT NULL")
+def embedded_lengths(spark, d):
+    """Texts sent to a provider in requests of 32, each vector back with its own text."""
+    return providers.embed_texts(texts(spark, d), LengthEmbedder).select("chunk_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("x"))
+
+
+@query(f"SELECT item_id AS qid, {S_LENGTH.format('text')} AS x FROM benchmark")
+def embedded_questions(spark, d):
+    asked_ = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return providers.embed_queries(asked_, LengthEmbedder).select("qid", F.round(F.col("embedding")[0].cast("double"), 5).alias("x"))
+
+
+@query("SELECT doc_id AS chunk_id, length(text) % 7 = 0 AS failed, true AS resumed FROM documents WHERE text IS NOT NULL")
+def embed_resumed(spark, d):
+    """A provider refuses some texts: those alone have errors, and the next call, which it serves, completes them."""
+    own, store = texts(spark, d), f"{folder(spark)}/brindle/{uuid.uuid4().hex}/embedded"
+    first = written(providers.embed_resumable(own, lambda: LengthEmbedder(7), store, batch=1, retries=1), "first")
+    second = providers.embed_resumable(own, LengthEmbedder, store)
+    return first.select("chunk_id", F.col("error").isNotNull().alias("failed")).join(second.select("chunk_id", (F.col("error").isNull() & F.col("embedding").isNotNull()).alias("resumed")), "chunk_id")
+
+
+@query(f"""WITH bt AS ({s_tokens('benchmark', 'item_id')}), q AS (SELECT item_id AS qid, unnest(range(0, len(t))) AS pos, unnest(t) AS term FROM bt), {S_INDEX}, r AS ({s_ranked(S_BM25, 10)}),
+m AS (SELECT r.qid, r.rank AS n, {S_PATH} AS source, text FROM r JOIN documents ON doc_id = chunk_id), b AS (SELECT *, {S_BLOCK} AS block FROM m),
+u AS (SELECT *, sum(strlen(block)) OVER (PARTITION BY qid ORDER BY n) AS used_bytes FROM b), kept AS (SELECT * FROM u WHERE n = 1 OR used_bytes <= 16384),
+j AS (SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY n) AS blocks FROM kept GROUP BY qid)
+SELECT item_id AS qid, md5('Question: ' || text || chr(10) || chr(10) || 'Retrieved materials:' || chr(10) || chr(10) || coalesce(blocks, '')) AS answer FROM benchmark LEFT JOIN j ON j.qid = item_id""")
+def grounded_digests(spark, d):
+    """Questions searched, put into prompts with their materials and sent to a provider, which answers with the hash of its prompt."""
+    asked_ = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    docs = corpus(spark, d)
+    ranked = served(spark, d).search(asked_)
+    found = fusion.described(ranked, docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("content").alias("text")), docs).select("qid", "rank", "chunk_id", F.col("path").alias("source"), "text")
+    return providers.generate(context.build_prompts(asked_, found), DigestGenerator).select("qid", "answer")
+
+
+@query(rf"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '!', 'g'), '{WORD}')) AS n_atoms FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x{{80}}-\x{{BF}}]{{2}}')")
+def malformed_atoms(spark, d):
+    """Texts in another encoding are no valid UTF-8: their bytes beyond ASCII separate atoms (texts in which they could pass for a Han character left out)."""
+    docs = corpus(spark, d).where(F.col("content").isNotNull() & ~F.col("content").rlike(r"[\x{80}-\x{BF}]{2}"))
+    made = atoms(docs.select("doc_id", F.encode(F.regexp_replace("content", r"[^\x00-\xFF]", "!"), "ISO-8859-1").alias("content")))
+    return made.select("doc_id", F.size("atoms").cast("long").alias("n_atoms"))
+
+
+@query(f"WITH {S_TERMS}, documents AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN text END AS text FROM main.documents), {S_INDEX}, r AS ({s_ranked(S_BM25, 10)}) {S_SHOWN} FROM r")
+def null_texts_top10(spark, d):
+    """Documents without a text do not count among the chunks."""
+    own = table(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text"))).where("text is not null")
+    return shown(bm25.search(bm25.build_written_index(own.select(F.col("doc_id").alias("chunk_id"), "text")), question(spark)))
+
+
+@query("SELECT vec_id AS qid, 10 AS n, true AS good FROM embeddings WHERE vec_id % 20 = 0")
+def hnsw_sharded_gate(spark, d):
+    """As hnsw_gate, with four shards: every question meets all of them, and their results are merged."""
+    index = written(hnsw.build_hnsw(vectors(spark, d).select("chunk_id", "embedding"), shards=4), "hnsw")
+    near = written(hnsw.search_hnsw(index, asked(spark, d), 10), "near")
+    exact = dense.search_flat(vectors(spark, d), asked(spark, d), 10)
+    hits = exact.join(near.select("qid", "chunk_id", F.lit(1).alias("hit")), ["qid", "chunk_id"], "left").groupBy("qid").agg(F.count("hit").alias("hits"))
+    return near.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("n")).join(hits, "qid").select("qid", "n", (F.col("hits") >= 8.5).alias("good"))
+
+
 # whole-text byte hashes and providers have no form in SQL, or none that ends: tests hold them against other means
 
 

@@ -14,7 +14,7 @@ from ..operators import bm25, chunking, context, corpus_diff, dense, fusion
 from ..sources import providers
 from ..sources.corpus import load_documents
 from ..sources.snapshot import Identity, IndexSnapshot, Status, VectorSnapshot, index_without, without
-from .workspace import dense_ids, written
+from .workspace import Store, dense_ids, written
 
 #: What a provider, a task of its or a vector of another width raises; anything else is a fault of ours and not hidden.
 DENSE_ERRORS = (providers.ProviderError, PySparkException, Py4JJavaError, OSError, ValueError)
@@ -35,8 +35,11 @@ class Answer:
     dense_error: str = ""
 
 
-def doc_vectors(spark: SparkSession, docs: DataFrame, chunks: DataFrame, cache: DataFrame | None, factory: Callable[[], providers.Embedder]) -> tuple[DataFrame, DataFrame]:
-    """((path, content_hash, vectors), (n_reused, n_embedded)): vectors of documents whose path, hash and number of chunks are cached are reused, the others' chunks are embedded."""
+def doc_vectors(spark: SparkSession, docs: DataFrame, chunks: DataFrame, cache: DataFrame | None, factory: Callable[[], providers.Embedder], store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """((path, content_hash, vectors), (n_reused, n_embedded)): vectors of documents whose path, hash and number of chunks are cached are reused, the others' chunks are embedded.
+
+    With a store, what was embedded is kept there when a request fails for good; the failure is raised, and the next call asks for the rest alone.
+    """
     counted = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     live = docs.where(~F.col("deleted")).join(counted, "doc_id", "left").select("doc_id", "path", F.xxhash64(F.col("content").cast("binary")).alias("content_hash"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
     cache = cache if cache is not None else spark.createDataFrame([], "path string, content_hash long, vectors array<array<float>>")
@@ -44,7 +47,14 @@ def doc_vectors(spark: SparkSession, docs: DataFrame, chunks: DataFrame, cache:
     plan = written(corpus_diff.reuse_plan(live, known), "reuse")
     kept = plan.where("reuse").join(known, ["path", "content_hash", "n_chunks"]).select("path", "content_hash", "vectors")
     todo = chunks.join(plan.where("not reuse").select("doc_id", "path", "content_hash"), "doc_id")
-    fresh = providers.embed_texts(todo.select("path", "content_hash", "chunk_id", "text"), factory)
+    todo = todo.select("path", "content_hash", "chunk_id", "text")
+    if store is None:
+        fresh = providers.embed_texts(todo, factory)
+    else:
+        fresh = written(providers.embed_resumable(todo, factory, store), "fresh")
+        failed = fresh.where("error is not null").select("error").first()
+        if failed:
+            raise providers.ProviderError(failed["error"])
     fresh = fresh.groupBy("path", "content_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "embedding"))), lambda x: x["embedding"]).alias("vectors"))
     return written(kept.unionByName(fresh), "vectors"), corpus_diff.reuse_counts(plan)
 
@@ -59,6 +69,7 @@ class RetrievalSession:
 
     def __init__(self, spark: SparkSession, folder: str, cache: str, embedder: Callable[[], providers.Embedder] | None = None, generator: Callable[[], providers.Generator] | None = None):
         self.spark, self.folder, self.embedder, self.generator = spark, folder, embedder, generator
+        self.cache = cache
         self.index_cache, self.vector_cache = IndexSnapshot(spark, f"{cache}/index"), VectorSnapshot(spark, f"{cache}/vectors")
         self.docs = load_documents(spark, folder)
         self.status = self.index_cache.validate(self.docs)
@@ -98,10 +109,11 @@ class RetrievalSession:
             provider = self.embedder()
             identity = Identity(provider.model_id, provider.policy)
             self.vector_status, cached = self.vector_cache.load(identity)
-            rows, counts = doc_vectors(self.spark, self.docs, self.chunks, cached, self.embedder)
+            rows, counts = doc_vectors(self.spark, self.docs, self.chunks, cached, self.embedder, f"{self.cache}/embedded")
             self.reused = counts.first()
             self.vectors = flat_vectors(rows)
-            self.vector_cache.save(Identity(identity.model_id, identity.embedding_policy, dense.dimension(self.vectors)), rows)
+            if self.vector_cache.save(Identity(identity.model_id, identity.embedding_policy, dense.dimension(self.vectors)), rows):
+                Store(self.spark, self.cache).delete("embedded")
         except DENSE_ERRORS as e:
             self.vectors, self.dense_error = None, str(e)
 

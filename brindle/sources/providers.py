@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.workspace import Store
+
 EMBED_BATCH = 32
 CONTEXT_TOKENS = 8192
 # the family's instruction for queries, and the names of embedding policies: fixed values
@@ -218,6 +222,50 @@ def embed_texts(rows: DataFrame, factory: Callable[[], Embedder], text_col: str
     return keep.mapInArrow(run, f"{schema}, embedding array<float>")
 
 
+_MADE = "_key string, embedding array<float>, error string"
+
+
+def embed_resumable(rows: DataFrame, factory: Callable[[], Embedder], store: str, text_col: str = "text", batch: int = EMBED_BATCH, retries: int = 3, wait: float = 0.5) -> DataFrame:
+    """rows with embedding array<float> and error, from a store that later calls go on with.
+
+    The store, a folder, has a vector for each text that was embedded with this model and policy; only texts without one are sent, each
+    once however often it stands in rows. A request that fails is sent again, after waits that double; if it never succeeds, its texts have
+    the error and no vector, and all others keep theirs. A null text counts as the empty one.
+    """
+    spark = rows.sparkSession
+    own = factory()
+    keyed = rows.drop("embedding", "error").withColumn("_key", F.sha2(F.concat_ws("\0", F.lit(own.model_id), F.lit(own.policy), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
+    folder = Store(spark, store)
+
+    def made() -> DataFrame:
+        return spark.read.schema(_MADE + ", attempt string").option("basePath", folder.root).parquet(folder.root) if folder.exists("") else spark.createDataFrame([], _MADE + ", attempt string")
+
+    known = made().where("error is null").select("_key")
+    todo = keyed.select("_key", F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["_key"]).join(known, "_key", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = factory()
+        for b in batches:
+            for i in range(0, b.num_rows, batch):
+                part = b.slice(i, batch)
+                texts = part.column(1).to_pylist()
+                found, error = [None] * len(texts), None
+                for turn in range(retries):
+                    try:
+                        found, error = provider.embed_documents(texts), None
+                        break
+                    except ProviderError as e:
+                        error = str(e)
+                        if turn + 1 < retries:
+                            time.sleep(wait * 2**turn)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float32())), pa.array([error] * len(texts), pa.string())], names=["_key", "embedding", "error"])
+
+    attempt = uuid.uuid4().hex
+    todo.mapInArrow(run, _MADE).write.parquet(f"{folder.root}/attempt={attempt}")
+    good = made().where((F.col("error").isNull()) | (F.col("attempt") == attempt)).groupBy("_key").agg(F.max_by("embedding", F.col("error").isNull()).alias("embedding"), F.max_by("error", F.col("error").isNull()).alias("error"))
+    return keyed.join(good, "_key", "left").drop("_key")
+
+
 def embed_queries(queries: DataFrame, factory: Callable[[], Embedder]) -> DataFrame:
     """(qid, embedding) of queries (qid, text); the provider adds what its model wants before a query."""
 

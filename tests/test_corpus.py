@@ -1,8 +1,11 @@
 import json
+import sys
 import threading
+import uuid
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from brindle.operators import bm25, chunking, context, corpus_diff, fusion, logquery
@@ -259,6 +262,65 @@ def test_providers_on_the_wire(service):
         providers.OllamaEmbedder(providers.EmbedderConfig(""))
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks do not know this module
+
+
+class Flaky:
+    """Notes each request in a folder; refuses texts that say so until the folder has a file `well`, and the first `early` requests whatever they are."""
+
+    model_id, policy = "flaky", "none"
+
+    def __init__(self, notes, early=0):
+        self.notes, self.early = notes, early
+
+    def embed_documents(self, texts):
+        seen = len(list(self.notes.glob("*.txt")))
+        (self.notes / f"{uuid.uuid4().hex}.txt").write_text("|".join(texts))
+        if seen < self.early or (any("bad" in t for t in texts) and not (self.notes / "well").exists()):
+            raise providers.ProviderError("not now")
+        return providers.checked_vectors([[float(len(t)), 1.0] for t in texts], len(texts))
+
+
+def test_a_failing_request_loses_its_batch_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "bad" if i == 13 else None if i == 5 else f"text {i % 20}") for i in range(40)], "chunk_id long, text string").coalesce(1)
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    asked = lambda: [t for f in notes.glob("*.txt") for t in f.read_text().split("|")]
+    run = lambda **k: {r.chunk_id: r for r in providers.embed_resumable(rows, lambda: Flaky(notes, k.get("early", 0)), str(tmp_path / "store"), batch=4, retries=k.get("retries", 2), wait=0.01).collect()}
+    first = run()
+    lost = [r for r in first.values() if r.error]
+    assert {r.error for r in lost} == {"not now"} and 1 <= len({r.text for r in lost}) <= 4 and all(r.embedding is None for r in lost) and first[13].error
+    assert len(first) == 40 and all(r.embedding for r in first.values() if not r.error)
+    assert asked().count("bad") == 2 and sorted(set(asked())) == sorted({r.text or "" for r in first.values()})
+    for f in notes.glob("*.txt"):
+        f.unlink()
+    (notes / "well").write_text("")
+    second = run()
+    assert all(r.error is None and r.embedding for r in second.values())
+    assert sorted(set(asked())) == sorted({r.text or "" for r in lost})  # what was lost, and nothing else
+    for f in notes.glob("*.txt"):
+        f.unlink()
+    assert {k: r.embedding for k, r in run().items()} == {k: r.embedding for k, r in second.items()} and asked() == []
+    more = spark.createDataFrame([(1, "new one")], "chunk_id long, text string")
+    got = providers.embed_resumable(more, lambda: Flaky(notes, 1), str(tmp_path / "store"), wait=0.01).first()
+    assert got.embedding and got.error is None and len(asked()) == 2  # the second try
+
+
+def test_session_goes_on_after_a_provider_failed(spark, tmp_path):
+    """A session without its dense route keeps what was embedded; the next one sends the rest alone."""
+    root, notes = corpus(tmp_path / "data"), tmp_path / "notes"
+    (tmp_path / "data" / "web" / "c.md").write_text("bad words")
+    notes.mkdir()
+    first = RetrievalSession(spark, root, str(tmp_path / "cache"), lambda: Flaky(notes, 0))
+    assert first.vectors is None and first.dense_error == "not now"
+    for f in notes.glob("*.txt"):
+        f.unlink()
+    (notes / "well").write_text("")
+    RetrievalSession(spark, root, str(tmp_path / "cache"), lambda: Flaky(notes, 0))
+    sent = [t for f in notes.glob("*.txt") for t in f.read_text().split("|")]
+    assert "bad words" in sent and not (tmp_path / "cache" / "embedded").exists()
+
+
 def test_chunk_lines(spark, tmp_path):
     docs, chunks, _ = built(spark)
     write_chunk_lines(chunks, docs, str(tmp_path / "lines"))
