@@ -25,6 +25,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences of the documents of sf_dir. Each stage's table is written and read by the next; a null or empty table gives what its stages define."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
