@@ -36,6 +36,24 @@ class Graph:
             while rng.random() < 1 / m:
                 top += 1
             self._insert(node, top, ef)
+        self.islands = self._islands()
+
+    def _islands(self) -> np.ndarray:
+        """Nodes from which, with the entry, all others can be reached in the lowest layer: links to far groups, and to nodes that are nobody's nearest, can be lost."""
+        seen = np.zeros(len(self.vectors), bool)
+        found: list[int] = []
+        for start in [self.entry, *range(len(self.vectors))] if self.entry >= 0 else []:
+            if seen[start]:
+                continue
+            if start != self.entry:
+                found.append(start)
+            seen[start] = True
+            open_ = [start]
+            while open_:
+                fresh = [n for n in self.layers[0].get(open_.pop(), ()) if not seen[n]]
+                seen[fresh] = True
+                open_ += fresh
+        return np.asarray(found, np.int64)
 
     def _like(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         return self.vectors[nodes] @ q
@@ -115,7 +133,9 @@ class Graph:
         node = self.entry
         for layer in range(len(self.layers) - 1, 0, -1):
             node = self._climb(q, node, layer)
-        found = self._beam(q, [node], max(ef, k), 0)
+        ef = max(ef, k)
+        near = self.islands[np.argsort(-(self.vectors[self.islands] @ q), kind="stable")[: ef // 2]]
+        found = self._beam(q, list(dict.fromkeys([node, *near.tolist()])), ef, 0)
         order = sorted(found, key=lambda x: (-x[0], self.ids[x[1]]))
         return [(int(self.ids[n]), s) for s, n in order[:k]]
 

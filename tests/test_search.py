@@ -96,6 +96,17 @@ def test_graph_recall_and_determinism(spark):
     assert hnsw.search_hnsw(hnsw.build_hnsw(v), q, 0).count() == 0
 
 
+def test_far_groups_are_reached():
+    """Groups without a link between them are all searched."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([centre + rng.normal(size=(60, 8)) * 0.01 for centre in np.eye(8)[:4]])
+    graph = hnsw.Graph(np.arange(len(x)), x)
+    assert len(graph.islands)
+    for q in x[::20]:
+        s = x @ q
+        assert [i for i, _ in graph.search(q, 10)] == np.lexsort((np.arange(len(x)), -s))[:10].tolist()
+
+
 def test_metrics(spark):
     q = spark.createDataFrame([(i,) for i in range(4)], "qid long")
     judged = spark.createDataFrame([(0, 1, True), (0, 2, True), (1, 3, True), (2, 1, False)], "qid long, rank int, relevant boolean")
