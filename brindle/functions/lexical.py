@@ -12,9 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.workspace import small_batches
+
+#: Bytes of text of which a worker makes rows at a time.
+PORTION = 1 << 18
 WORD = r"[A-Za-z0-9-]*[A-Za-z0-9](?:[._][A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*-*|-+"
 HAN = "[㐀-䶿一-鿿]"
 FIRST_HAN = "㐀"
@@ -39,25 +44,50 @@ def atom_count(text: Column) -> Column:
 
 def byte_atoms(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which the atoms begin and end; bytes that are no valid text separate atoms."""
-    spans = [m.span() for m in BYTE_ATOM.finditer(content)]
-    both = np.asarray(spans, np.int64).reshape(-1, 2)
+    both = np.fromiter((x for m in BYTE_ATOM.finditer(content) for x in m.span()), np.int64).reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
 
+def portions(b: pa.RecordBatch, at: int, size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about size bytes in its column of strings or bytes, of a row at least: what is made of them never fills a worker."""
+    filled = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < b.num_rows:
+        before = int(filled[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(filled, before + size, "right")))
+        yield b.slice(begin, end - begin)
+        begin = end
+
+
+def _atom_lists(contents: pa.Array) -> pa.Array:
+    """Of each content its atoms; offsets and kinds are columns of numbers, and no atom is a Python object."""
+    at, begins, ends, high = [0], [], [], []
+    for content in contents.cast(pa.binary()).to_pylist():
+        if content is not None:
+            begin, end = byte_atoms(content)
+            begins.append(begin)
+            ends.append(end)
+            high.append(np.frombuffer(content, np.uint8)[begin] >= 0x80)
+            at.append(at[-1] + len(begin))
+        else:
+            at.append(at[-1])
+    begin, end, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begins, ends, high))
+    kinds = pa.array(["ASCII_WORD", "CJK_CHAR"]).take(pa.array(high.astype(np.int32)))
+    values = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32()), kinds], names=["begin", "end", "kind"])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values, mask=contents.is_null())
+
+
 def atoms(docs: DataFrame, content_col: str = "content") -> DataFrame:
     """docs with atoms, array<struct<begin,end,kind>> in bytes of the content (binary or string); safe for malformed UTF-8."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "atoms"]
     keep = docs.select(*names)
     at = names.index(content_col)
-    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for content in b.column(at).to_pylist():
-                raw = content.encode("utf-8", "surrogatepass") if isinstance(content, str) else content
-                out.append(None if raw is None else [{"begin": m.start(), "end": m.end(), "kind": "CJK_CHAR" if raw[m.start()] >= 0x80 else "ASCII_WORD"} for m in BYTE_ATOM.finditer(raw)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names=[*names, "atoms"])
+            for part in portions(b, at):
+                yield pa.RecordBatch.from_arrays([*part.columns, _atom_lists(part.column(at))], names=[*names, "atoms"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields)
     return keep.mapInArrow(scan, f"{schema}, atoms array<struct<begin:int,end:int,kind:string>>")

@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexical import byte_atoms
-from ..plans.workspace import first_ids, written
+from ..functions.lexical import byte_atoms, portions
+from ..plans.workspace import first_ids, small_batches, written
 
 CHUNK_ATOMS, OVERLAP_ATOMS = 500, 50
 
@@ -26,17 +26,19 @@ def chunk_pieces(docs: DataFrame, size: int = CHUNK_ATOMS, overlap: int = OVERLA
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = content.encode("utf-8", "surrogatepass") if isinstance(content, str) else content or b""
-                begins, ends = byte_atoms(raw)
-                n = len(begins)
-                for k in range(max(1, -(-(n - overlap) // step)) if n else 0):
-                    lo, hi = int(begins[k * step]), int(ends[min(k * step + size, n) - 1])
-                    rows.append((doc, k, lo, hi, raw[lo:hi].decode("utf-8", "replace")))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "k", "begin", "end", "text"])
-
+            for part in portions(b, 1):
+                rows = []
+                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+                    raw = raw or b""
+                    begins, ends = byte_atoms(raw)
+                    n = len(begins)
+                    for k in range(max(1, -(-(n - overlap) // step)) if n else 0):
+                        lo, hi = int(begins[k * step]), int(ends[min(k * step + size, n) - 1])
+                        rows.append((doc, k, lo, hi, raw[lo:hi].decode("utf-8", "replace")))
+                cols = list(zip(*rows)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "k", "begin", "end", "text"])
+
+    small_batches(docs.sparkSession)
     return live.select(F.col("doc_id").cast("long"), "content").mapInArrow(cut, "doc_id long, k int, begin long, end long, text string")
 
 

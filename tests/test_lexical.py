@@ -1,10 +1,12 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brindle.functions import lexical, scalars
 from brindle.operators import chunking
+from brindle.plans import workspace
 
 GOLDEN = [
     ("libc-2.31", ["libc-2.31"]),
@@ -123,3 +125,16 @@ def test_places_and_numbers(spark):
 
 def test_patterns_have_no_lookaround():
     assert not re.search(r"\(\?[=!<]", lexical.RUN)
+
+
+def test_atoms_are_made_of_a_portion_of_the_texts_at_a_time(spark):
+    """A worker's memory does not grow with the texts of a batch: batches are cut by bytes, and rows keep their order and nulls."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["ab", None, "x" * 100, "", "堆 a"])], names=["id", "content"])
+    parts = list(lexical.portions(batch, 1, 10))
+    assert [p.num_rows for p in parts] == [2, 1, 2] and [x for p in parts for x in p.column(0).to_pylist()] == [0, 1, 2, 3, 4]
+    made = lexical.atoms(spark.createDataFrame([(i, None if i % 7 == 0 else f"堆 w{i} " * (i % 50)) for i in range(3000)], "id int, content string"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == workspace.BATCH_BYTES
+    for r in made.collect():
+        wanted = None if r["content"] is None else [r["content"].encode()[a["begin"] : a["end"]].decode() for a in r["atoms"]]
+        assert wanted == (None if r["id"] % 7 == 0 else ["堆", f"w{r['id']}"] * (r["id"] % 50))
+        assert r["atoms"] is None or [a["kind"] for a in r["atoms"]] == ["CJK_CHAR", "ASCII_WORD"] * (r["id"] % 50)
