@@ -7,6 +7,7 @@ graph of its own, all shards are searched and the best results merged. One shard
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -36,7 +37,8 @@ class Graph:
             while rng.random() < 1 / m:
                 top += 1
             self._insert(node, top, ef)
-        self.islands = self._islands()
+        # a search enters the lowest layer at the best of the next one too: groups of near copies are islands in effect
+        self.islands = np.unique(np.concatenate([self._islands(), np.fromiter(self.layers[1] if len(self.layers) > 1 else (), np.int64)]))
 
     def _islands(self) -> np.ndarray:
         """Nodes from which, with the entry, all others can be reached in the lowest layer: links to far groups, and to nodes that are nobody's nearest, can be lost."""
@@ -99,10 +101,21 @@ class Graph:
         return sorted(kept, key=lambda x: (-x[0], x[1]))
 
     def _shorten(self, node: int, layer: int) -> None:
-        near = self.layers[layer][node]
-        if len(near) > self.m:
-            s = self._like(self.vectors[node], near)
-            self.layers[layer][node] = [near[i] for i in np.lexsort((near, -s))[: self.m]]
+        """Keep m links, twice as many in the lowest layer, first those to neighbours that are nearer to the node than to any one kept: else a group of near copies links to itself alone."""
+        near, most = self.layers[layer][node], self.m if layer else 2 * self.m
+        if len(near) <= most:
+            return
+        own = self.vectors[near]
+        s, like = own @ self.vectors[node], own @ own.T
+        order = np.lexsort((near, -s))
+        covered, kept = np.zeros(len(near), bool), []
+        for i in order:
+            if not covered[i]:
+                kept.append(i)
+                covered |= like[i] > s
+        kept = kept[:most]
+        kept += [i for i in order if i not in kept][: most - len(kept)]
+        self.layers[layer][node] = [near[i] for i in kept]
 
     def _insert(self, node: int, top: int, ef: int) -> None:
         q, entry, height = self.vectors[node], self.entry, len(self.layers)
@@ -127,13 +140,14 @@ class Graph:
         if top >= height:
             self.entry = node
 
-    def search(self, q: np.ndarray, k: int, ef: int = EF_SEARCH) -> list[tuple[int, float]]:
+    def search(self, q: np.ndarray, k: int, ef: int | None = None) -> list[tuple[int, float]]:
+        """The k best that a beam of ef nodes finds; its width grows with the root of the graph's size where none is given."""
         if self.entry < 0 or k <= 0:
             return []
         node = self.entry
         for layer in range(len(self.layers) - 1, 0, -1):
             node = self._climb(q, node, layer)
-        ef = max(ef, k)
+        ef = max(ef or max(EF_SEARCH, 4 * math.isqrt(len(self.vectors))), k)
         near = self.islands[np.argsort(-(self.vectors[self.islands] @ q), kind="stable")[: ef // 2]]
         found = self._beam(q, list(dict.fromkeys([node, *near.tolist()])), ef, 0)
         order = sorted(found, key=lambda x: (-x[0], self.ids[x[1]]))
@@ -155,7 +169,7 @@ def build_hnsw(vectors: DataFrame, seed: int = 0, shards: int | None = None, m:
     return dealt.groupBy("shard").applyInPandas(build, "shard int, graph binary")
 
 
-def search_hnsw(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
+def search_hnsw(index: DataFrame, queries: DataFrame, k: int, ef: int | None = None) -> DataFrame:
     """(qid, rank, chunk_id, score) for queries (qid, embedding): every shard is searched, the best are merged."""
     asked = queries.select(F.col("qid").cast("long"), "embedding").withColumn("shard", F.explode(F.array(*[F.lit(r["shard"]) for r in index.select("shard").collect()]) if not index.isEmpty() else F.array().cast("array<int>")))
 

@@ -244,7 +244,7 @@ def routes(index: Routed, queries: DataFrame, probes: int) -> DataFrame:
     return queries.select(F.col("qid").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "qid long, embedding array<double>, cell int")
 
 
-def search_routed(index: Routed, queries: DataFrame, k: int, probes: int, ef: int = EF_SEARCH) -> DataFrame:
+def search_routed(index: Routed, queries: DataFrame, k: int, probes: int, ef: int | None = None) -> DataFrame:
     """(qid, rank, chunk_id, score) for queries (qid, embedding): each meets the graphs of its nearest cells alone."""
     schema = "qid long, chunk_id long, score double"
     if k <= 0 or not len(index.centroids):
