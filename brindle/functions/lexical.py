@@ -38,6 +38,14 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(HAN), F.flatten(F.transform(found, parts))).otherwise(F.transform(found, F.lower))
 
 
+def counted(found: Column) -> Column:
+    """array<struct<term,tf>> of an array of tokens, by term: counted in the row, so no table of words is built up in memory or moved."""
+    starts = lambda s: F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))).otherwise(F.array().cast("array<int>"))
+    runs = lambda s, a: F.transform(a, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(a, j + 1), F.size(s)) - i).alias("tf")))
+    # arrays of one element bind what is used many times
+    return F.transform(F.array(F.sort_array(found)), lambda s: F.transform(F.array(starts(s)), lambda a: runs(s, a))[0])[0]
+
+
 def atom_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(ATOM))
 
