@@ -1,6 +1,6 @@
 """Phrase collocation mining with compressed position bitmaps, SPAM-style.
 
-Texts are dealt into shards of some megabytes. In a shard every word has a bitmap of its positions, kept as its
+Texts are dealt into shards of two megabytes. In a shard every word has a bitmap of its positions, kept as its
 non-zero blocks of 64 bits. A phrase grows by a word when its bitmap, shifted by one place, is ANDed with the bitmap
 of places that continue a piece and with the word's own; the popcount is the phrase's frequency in the shard. Lots of
 first words are followed depth-first to the longest phrase, so few bitmaps are held at once. Popcounts are summed
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import U64, documents, materialize, mix64, released, segment_hashes, signed, small_batches
 
-#: Bytes of text in one shard, bitmap rows of a lot that is followed depth-first, cells of the filter of pairs.
-SHARD, LOT, CELLS = 8 << 20, 1 << 16, 1 << 26
+#: Bytes of text in one shard, bitmap rows of a lot that is followed depth-first, cells of the filter of pairs. A worker's arrays have some 30 bytes for each byte of a shard.
+SHARD, LOT, CELLS = 2 << 20, 1 << 16, 1 << 26
+#: Rows handed to the JVM at a time.
+HANDED = 1 << 16
 #: Parts by which a single word's joins are salted: a common word begins or ends a large share of all phrases.
 SALT = 32
 
@@ -76,14 +78,22 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str,
     """(language, shard) of (lang, text) rows: about size bytes of text at a time, one shard for each language in them."""
     held: dict[str, list[bytes]] = {}
     total = 0
+
+    def hand_on() -> Iterator[tuple[str, Shard]]:
+        nonlocal total
+        while held:
+            lang, texts = held.popitem()
+            yield lang, Shard(texts)
+        total = 0
+
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.setdefault(lang, []).append(text)
+        for lang, text in zip(b.column(0), b.column(1)):
+            text = text.as_py()
+            held.setdefault(lang.as_py(), []).append(text)
             total += len(text) + 1
-        if total >= size:
-            yield from ((lang, Shard(texts)) for lang, texts in held.items())
-            held, total = {}, 0
-    yield from ((lang, Shard(texts)) for lang, texts in held.items())
+            if total >= size:
+                yield from hand_on()
+    yield from hand_on()
 
 
 class Bitmaps:
@@ -165,8 +175,8 @@ def pair_filter(texts: DataFrame, least: int, shard: int = SHARD, cells: int = C
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, s in shards(batches, shard):
             keys, n = np.unique(signed(s.pair_hashes(lang)[1]), return_counts=True)
-            for i in range(0, len(keys), 1 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 20)]), pa.array(n[i : i + (1 << 20)])], names=["key", "n"])
+            for i in range(0, len(keys), HANDED):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + HANDED]), pa.array(n[i : i + HANDED])], names=["key", "n"])
 
     pairs = texts.mapInArrow(released(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     cell = F.col("key").bitwiseAND(F.lit(cells - 1)) + 1
@@ -202,9 +212,11 @@ def frequencies(docs: DataFrame, least: int = 30, longest: int = 4, text_col: st
             s.continues[at] = seen[(cell >> U64(3)).astype(np.int64)] >> (cell & U64(7)).astype(np.uint8) & 1
             yield rows(lang, 0, pa.array([b""], pa.binary()), np.asarray([len(s.place)]))
             f = np.bincount(s.place, minlength=len(s.words))
-            yield rows(lang, 1, spelled(s.words, np.arange(len(f))[:, None]), f)
+            for i in range(0, len(f), HANDED):
+                yield rows(lang, 1, spelled(s.words, np.arange(i, min(i + HANDED, len(f)))[:, None]), f[i : i + HANDED])
             for numbers, f in Bitmaps(s.place, s.continues).phrases(longest):
-                yield rows(lang, numbers.shape[1], spelled(s.words, numbers), f)
+                for i in range(0, len(f), HANDED):
+                    yield rows(lang, numbers.shape[1], spelled(s.words, numbers[i : i + HANDED]), f[i : i + HANDED])
 
     found = texts.mapInArrow(released(mine), "lang string, words int, phrase binary, f long")
     # the words' number follows from the phrase, and is no key
