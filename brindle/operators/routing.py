@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.workspace import written
+from ..plans.workspace import small_batches, written
 from .bm25 import top_k
 from .dense import QUERY_BLOCK, ROW_BLOCK, _scored, dimension
 from .hnsw import EF_BUILD, EF_SEARCH, SHARD, M, Graph
@@ -166,6 +166,7 @@ def meetings(heads: Heads, asked: DataFrame, seeds: int | None) -> DataFrame:
 def search_bounded(index: Blocks, queries: DataFrame, k: int) -> DataFrame:
     """(qid, rank, chunk_id, score) for queries (qid, embedding): as search_flat over the same vectors."""
     spark, schema = queries.sparkSession, "qid long, chunk_id long, score float"
+    small_batches(spark)
     heads, rows = index.heads, index.rows
     if k <= 0 or not len(heads.number):
         return top_k(spark.createDataFrame([], schema), k)
@@ -176,8 +177,9 @@ def search_bounded(index: Blocks, queries: DataFrame, k: int) -> DataFrame:
         raise ValueError(f"queries have {asked} dimensions, the index {width}")
 
     def met(asked_in: DataFrame, seeds: int | None) -> DataFrame:
+        # Spark takes the meetings for no larger than the questions, though each repeats its block of them for every head: never broadcast
         pairs = meetings(heads, asked_in, seeds).repartition("head")
-        return pairs.join(rows, "head").select("qids", "q", "ids", "x").mapInArrow(lambda it: _scored(it, width, k), schema)
+        return pairs.join(rows.hint("merge"), "head").select("qids", "q", "ids", "x").mapInArrow(lambda it: _scored(it, width, k), schema)
 
     # queries of one cell are near each other and need about the same blocks
     near = written(in_cells(queries, heads.centroids, "qid").repartitionByRange("cell", "radius").sortWithinPartitions("cell", "radius"), "queries")
