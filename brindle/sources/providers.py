@@ -9,6 +9,7 @@ import time
 import urllib.error
 import urllib.request
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.workspace import Store
+from ..functions.lexical import portions
+from ..plans.workspace import Store, small_batches
 
 EMBED_BATCH = 32
 CONTEXT_TOKENS = 8192
@@ -190,10 +192,10 @@ class HashEmbedder:
 
 
 class EchoGenerator:
-    """Offline stand-in: a fixed answer, and what it was asked."""
+    """Offline stand-in: a fixed answer, and what it was asked last. A task asks one generator all its prompts, so no more are kept."""
 
     def __init__(self, answer: str = "See [1].", model_id: str = "echo"):
-        self.answer, self.model_id, self.asked = answer, model_id, []
+        self.answer, self.model_id, self.asked = answer, model_id, deque(maxlen=1)
 
     def chat(self, messages: list[Message]) -> str:
         if not messages:
@@ -278,19 +280,21 @@ def embed_queries(queries: DataFrame, factory: Callable[[], Embedder]) -> DataFr
 
 
 def generate(prompts: DataFrame, factory: Callable[[], Generator]) -> DataFrame:
-    """(qid, answer, error) of prompts (qid, system, user): a failed call gives its message and no answer."""
+    """(qid, answer, error) of prompts (qid, system, user): a failed call gives its message and no answer. A worker holds one prompt as text, or as many as stay small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = factory()
         for b in batches:
-            answers, errors = [], []
-            for system, user in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                try:
-                    answers.append(provider.chat([Message("system", system), Message("user", user)]))
-                    errors.append(None)
-                except ProviderError as e:
-                    answers.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=["qid", "answer", "error"])
+            for part in portions(b, 2):
+                answers, errors = [], []
+                for system, user in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    try:
+                        answers.append(provider.chat([Message("system", system), Message("user", user)]))
+                        errors.append(None)
+                    except ProviderError as e:
+                        answers.append(None)
+                        errors.append(str(e))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=["qid", "answer", "error"])
 
+    small_batches(prompts.sparkSession)
     return prompts.select(F.col("qid").cast("long"), "system", "user").mapInArrow(run, "qid long, answer string, error string")
