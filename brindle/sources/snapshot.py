@@ -167,7 +167,7 @@ class IndexSnapshot(_Snapshot):
         tables = {
             "documents": docs.select("doc_id", "path", "content", "deleted"),
             "chunks": chunks.select("chunk_id", "doc_id", "begin", "end"),
-            "postings": index.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"),
+            "postings": index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"),
             "lengths": index.lengths,
             "manifest": manifest(docs),
         }
