@@ -22,6 +22,8 @@ from .dense import dimension
 M, EF_BUILD, EF_SEARCH = 16, 200, 100
 #: Vectors of one graph, about.
 SHARD = 20_000
+#: Queries, about, that a task asks one graph.
+QUERY_LOT = 2048
 
 
 class Graph:
@@ -170,8 +172,11 @@ def build_hnsw(vectors: DataFrame, seed: int = 0, shards: int | None = None, m:
 
 
 def search_hnsw(index: DataFrame, queries: DataFrame, k: int, ef: int | None = None) -> DataFrame:
-    """(qid, rank, chunk_id, score) for queries (qid, embedding): every shard is searched, the best are merged."""
+    """(qid, rank, chunk_id, score) for queries (qid, embedding): every shard is searched, by lots of queries, and the best are merged."""
+    lots = max(1, -(-queries.count() // QUERY_LOT))
     asked = queries.select(F.col("qid").cast("long"), "embedding").withColumn("shard", F.explode(F.array(*[F.lit(r["shard"]) for r in index.select("shard").collect()]) if not index.isEmpty() else F.array().cast("array<int>")))
+    asked = asked.withColumn("lot", F.pmod(F.xxhash64("qid"), F.lit(lots)).cast("int"))
+    copies = index.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -183,7 +188,7 @@ def search_hnsw(index: DataFrame, queries: DataFrame, k: int, ef: int | None = N
                 rows += [(qid, n, s) for n, s in graph.search(np.asarray(q, float), k, ef)]
         return pd.DataFrame(rows, columns=["qid", "chunk_id", "score"])
 
-    found = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(search, "qid long, chunk_id long, score double")
+    found = asked.groupBy("shard", "lot").cogroup(copies.groupBy("shard", "lot")).applyInPandas(search, "qid long, chunk_id long, score double")
     return top_k(found, k).withColumn("score", F.col("score").cast("float"))
 
 
