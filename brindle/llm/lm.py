@@ -92,7 +92,8 @@ class Params:
 
 
 def summed(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(index, kind="stable")
+    # numbers of 16 bits are sorted by their digits, in the same order and a quarter of the time
+    order = np.argsort(index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index, kind="stable")
     index, grad = index[order], grad[order]
     at = np.flatnonzero(np.diff(index, prepend=-1))
     return index[at], np.add.reduceat(grad, at)
@@ -104,10 +105,10 @@ def train_nce(p: Params, share: np.ndarray, triples: np.ndarray, weight: np.ndar
     noise_log = (np.log(np.maximum(share, 1e-12)) + np.log(NOISE)).astype(p.target.dtype)
     cdf = np.cumsum(share)
     order = rng.permutation(len(triples))
+    triples, weight = np.ascontiguousarray(triples[order].T), weight[order]
     for at in range(0, len(order), step):
-        pick = order[at : at + step]
-        far, near, word = triples[pick].T
-        g_weight = (weight[pick] / weight[pick].mean()) if len(pick) else weight[pick]
+        far, near, word = triples[:, at : at + step]
+        g_weight = weight[at : at + step] / weight[at : at + step].mean()
         q_far, q_near = p.context[far], p.context[near]
         made = q_far * p.scale[0]
         made += q_near * p.scale[1]
@@ -115,9 +116,14 @@ def train_nce(p: Params, share: np.ndarray, triples: np.ndarray, weight: np.ndar
         r_word, r_noise = p.target[word], p.target[noise]
         s_word = np.einsum("ij,ij->i", made, r_word) + p.bias[word] - noise_log[word]
         s_noise = made @ r_noise.T + (p.bias[noise] - noise_log[noise])
-        scale = 1 / len(pick)
+        scale = 1 / len(word)
         g_word = -scale * g_weight / (1 + np.exp(np.clip(s_word, -30, 30)))
-        g_noise = (scale * g_weight)[:, None] / (1 + np.exp(-np.clip(s_noise, -30, 30)))
+        # in place: the largest array of a step
+        g_noise = np.clip(s_noise, -30, 30, out=s_noise)
+        np.negative(g_noise, out=g_noise)
+        np.exp(g_noise, out=g_noise)
+        g_noise += 1
+        np.divide((scale * g_weight)[:, None], g_noise, out=g_noise)
         g_made = g_word[:, None] * r_word
         g_made += g_noise @ r_noise
         # the bias goes with the target vector, as one more column
@@ -130,8 +136,9 @@ def train_nce(p: Params, share: np.ndarray, triples: np.ndarray, weight: np.ndar
             (2, slice(None), np.stack([np.einsum("ij,ij->j", g_made, q_far), np.einsum("ij,ij->j", g_made, q_near)])),
         ]
         for k, where, grad in steps:
-            memory[k][where] += grad * grad
-            getattr(p, Params.NAMES[k])[where] -= rate * grad / np.sqrt(memory[k][where] + 1e-8)
+            sums = memory[k][where] + grad * grad
+            memory[k][where] = sums
+            getattr(p, Params.NAMES[k])[where] -= rate * grad / np.sqrt(sums + 1e-8)
 
 
 _PART = "part long, local int, word binary, n long, doc_ids array<long>, held array<boolean>, sizes array<int>, ids binary"
