@@ -45,9 +45,10 @@ def chunk_pieces(docs: DataFrame, size: int = CHUNK_ATOMS, overlap: int = OVERLA
 def chunk_documents(docs: DataFrame, size: int = CHUNK_ATOMS, overlap: int = OVERLAP_ATOMS) -> DataFrame:
     """(chunk_id, doc_id, begin, end, text), ids dense in order of document and place.
 
-    Texts are cut and written once, and never sorted: documents are numbered by their chunk counts.
+    Texts are cut and written once, and never sorted: documents are numbered by their chunk counts, and texts stream past a hash table
+    of those, of which a task has its share.
     """
     pieces = written(chunk_pieces(docs, size, overlap), "pieces")
     counts = pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    numbered = pieces.join(first_ids(counts, "first", "n", "doc_id").drop("n"), "doc_id")
+    numbered = pieces.join(first_ids(counts, "first", "n", "doc_id").drop("n").hint("shuffle_hash"), "doc_id")
     return numbered.select((F.col("first") + F.col("k")).alias("chunk_id"), "doc_id", "begin", "end", "text")
