@@ -91,54 +91,89 @@ class Params:
         return far, near + self.bias, norm
 
 
-def summed(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    # numbers of 16 bits are sorted by their digits, in the same order and a quarter of the time
-    order = np.argsort(index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index, kind="stable")
-    index, grad = index[order], grad[order]
-    at = np.flatnonzero(np.diff(index, prepend=-1))
-    return index[at], np.add.reduceat(grad, at)
+class Sums:
+    """Sums of rows by number, of one width all along: rows are added in their order, two numbers at a time, without a sort."""
+
+    def __init__(self, size: int, width: int, dtype: np.dtype):
+        self.total = np.zeros((size, width + width % 2), dtype)
+        self.pairs = self.total.view(np.result_type(dtype, np.complex64)).ravel()
+        self.places = np.arange(len(self.pairs)).reshape(size, -1)
+
+    def of(self, index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers that occur and the sums of their rows (as wide as total)."""
+        there = np.flatnonzero(np.bincount(index, minlength=len(self.total)))
+        np.add.at(self.pairs, self.places.take(index, axis=0).ravel(), rows.view(self.pairs.dtype).ravel())
+        out = self.total.take(there, axis=0)
+        self.total[there] = 0
+        return there, out
 
 
 def train_nce(p: Params, share: np.ndarray, triples: np.ndarray, weight: np.ndarray, rng: np.random.Generator, memory: list[np.ndarray], rate: float = RATE, step: int = STEP) -> None:
     """One pass of Adagrad steps over word triples (n x 3: two back, one back, word), in place."""
-    weight = weight.astype(p.target.dtype)
-    noise_log = (np.log(np.maximum(share, 1e-12)) + np.log(NOISE)).astype(p.target.dtype)
+    kind, (n, width) = p.target.dtype, p.target.shape
+    weight = weight.astype(kind)
+    noise_log = (np.log(np.maximum(share, 1e-12)) + np.log(NOISE)).astype(kind)
     cdf = np.cumsum(share)
     order = rng.permutation(len(triples))
-    triples, weight = np.ascontiguousarray(triples[order].T), weight[order]
+    triples, weight = np.ascontiguousarray(triples.take(order, axis=0).T), weight[order]
+    # a target vector has its bias as one more column, and a made vector a 1 there; columns are even in number
+    wide = width + 1 + (width + 1) % 2
+    most = min(step, len(order))
+    by_word, by_context = Sums(n, wide, kind), Sums(n, width, kind)
+    rows, noise_rows = np.zeros((most + NOISE, wide), kind), np.zeros((NOISE, wide), kind)
+    made_, scores_ = np.zeros((most, wide), kind), np.empty((most, NOISE), kind)
+    context_rows = np.zeros((2 * most, by_context.total.shape[1]), kind)
     for at in range(0, len(order), step):
         far, near, word = triples[:, at : at + step]
+        size = len(word)
         g_weight = weight[at : at + step] / weight[at : at + step].mean()
-        q_far, q_near = p.context[far], p.context[near]
-        made = q_far * p.scale[0]
-        made += q_near * p.scale[1]
-        noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), len(share) - 1)
-        r_word, r_noise = p.target[word], p.target[noise]
-        s_word = np.einsum("ij,ij->i", made, r_word) + p.bias[word] - noise_log[word]
-        s_noise = made @ r_noise.T + (p.bias[noise] - noise_log[noise])
-        scale = 1 / len(word)
-        g_word = -scale * g_weight / (1 + np.exp(np.clip(s_word, -30, 30)))
-        # in place: the largest array of a step
-        g_noise = np.clip(s_noise, -30, 30, out=s_noise)
-        np.negative(g_noise, out=g_noise)
+        g_weight *= 1 / size
+        q_far, q_near, r_word = p.context.take(far, axis=0), p.context.take(near, axis=0), p.target.take(word, axis=0)
+        made, g_noise = made_[:size], scores_[:size]
+        np.multiply(q_far, p.scale[0], out=made[:, :width])
+        made[:, :width] += q_near * p.scale[1]
+        made[:, width] = 1
+        noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), n - 1)
+        r_noise = p.target[noise]
+        s_word = np.einsum("ij,ij->i", made[:, :width], r_word) + p.bias[word] - noise_log[word]
+        g_word = -g_weight / (1 + np.exp(np.clip(s_word, -30, 30)))
+        # in place, the largest array of a step: 1 / (1 + exp(-score)), to which a token's weight comes after the products
+        np.negative(r_noise, out=noise_rows[:, :width])
+        noise_rows[:, width] = noise_log[noise] - p.bias[noise]
+        np.matmul(made, noise_rows.T, out=g_noise)
+        np.clip(g_noise, -30, 30, out=g_noise)
         np.exp(g_noise, out=g_noise)
         g_noise += 1
-        np.divide((scale * g_weight)[:, None], g_noise, out=g_noise)
-        g_made = g_word[:, None] * r_word
-        g_made += g_noise @ r_noise
-        # the bias goes with the target vector, as one more column
-        made = np.column_stack([made, np.ones(len(made), made.dtype)])
-        where, grad = summed(np.concatenate([word, noise]), np.vstack([g_word[:, None] * made, g_noise.T @ made]))
+        np.reciprocal(g_noise, out=g_noise)
+        g_made = g_noise @ r_noise
+        g_made *= g_weight[:, None]
+        r_word *= g_word[:, None]
+        g_made += r_word
+        both = rows[: size + NOISE]
+        np.multiply(made, g_weight[:, None], out=both[:size])
+        np.matmul(g_noise.T, both[:size], out=both[size:])
+        np.multiply(made, g_word[:, None], out=both[:size])
+        where, grad = by_word.of(np.concatenate([word, noise]), both)
+        sides = context_rows[: 2 * size]
+        np.multiply(g_made, p.scale[0], out=sides[:size, :width])
+        np.multiply(g_made, p.scale[1], out=sides[size:, :width])
+        context_where, context_grad = by_context.of(np.concatenate([far, near]), sides)
         steps = [
-            (0, where, grad[:, :-1]),
-            (3, where, grad[:, -1]),
-            (1, *summed(np.concatenate([far, near]), np.vstack([g_made * p.scale[0], g_made * p.scale[1]]))),
-            (2, slice(None), np.stack([np.einsum("ij,ij->j", g_made, q_far), np.einsum("ij,ij->j", g_made, q_near)])),
+            (0, where, grad[:, :width]),
+            (3, where, grad[:, width]),
+            (1, context_where, context_grad[:, :width]),
+            (2, np.arange(2), np.stack([np.einsum("ij,ij->j", g_made, q_far), np.einsum("ij,ij->j", g_made, q_near)])),
         ]
         for k, where, grad in steps:
-            sums = memory[k][where] + grad * grad
+            mine = getattr(p, Params.NAMES[k])
+            sums = grad * grad
+            sums += memory[k].take(where, axis=0)
             memory[k][where] = sums
-            getattr(p, Params.NAMES[k])[where] -= rate * grad / np.sqrt(sums + 1e-8)
+            sums += 1e-8
+            np.sqrt(sums, out=sums)
+            np.divide(grad, sums, out=sums)
+            sums *= rate
+            mine[where] = mine.take(where, axis=0) - sums
 
 
 _PART = "part long, local int, word binary, n long, doc_ids array<long>, held array<boolean>, sizes array<int>, ids binary"
@@ -260,7 +295,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a word's count stands at each of its rows, and one row a word is marked
     of_word = Window.partitionBy("word")
     words = parts.where("word is not null").select("part", "local", "word", "n")
-    words = materialize(words.select("part", "local", "word", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("part")) == 1).alias("mark")), "words")
+    words = materialize(words.select("part", "local", "word", F.sum("n").over(of_word).alias("c"), (F.col("part") == F.min("part").over(of_word)).alias("mark")), "words")
     counts = words.where("mark and c > 0")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
     n_all, n_distinct, n_end = map(int, totals)
@@ -291,26 +326,30 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The counts and classes of a part's words, in the order of their numbers, in one row."""
-        part, c, cls = None, [], []
+        part, local, c, cls = None, [], [], []
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.concatenate(c).astype(np.int64).tobytes()], pa.binary()), pa.array([np.concatenate(cls).astype(np.int32).tobytes()], pa.binary())], names=["part", "c", "class"])
+            number = np.concatenate(local)
+            counted, classed = np.empty(len(number), np.int64), np.empty(len(number), np.int32)
+            counted[number], classed[number] = np.concatenate(c), np.concatenate(cls)
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([counted.tobytes()], pa.binary()), pa.array([classed.tobytes()], pa.binary())], names=["part", "c", "class"])
 
         for b in batches:
-            to, counts_, classes_ = (b.column(i).to_numpy() for i in (0, 2, 3))
+            to, locals_, counts_, classes_ = (b.column(i).to_numpy() for i in range(4))
             cuts = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1), len(to)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo < hi:
                     if part is not None and to[lo] != part:
                         yield row()
-                        c, cls = [], []
+                        local, c, cls = [], [], []
                     part = int(to[lo])
+                    local.append(locals_[lo:hi])
                     c.append(counts_[lo:hi])
                     cls.append(classes_[lo:hi])
         if part is not None:
             yield row()
 
-    dictionary = classed.repartition(shuffle_parts(spark), "part").sortWithinPartitions("part", "local").mapInArrow(released(packed), "part long, c binary, class binary")
+    dictionary = classed.repartition(shuffle_parts(spark), "part").sortWithinPartitions("part").mapInArrow(released(packed), "part long, c binary, class binary")
     lines = parts.where("word is null").select("part", "doc_ids", "held", "sizes", "ids")
     whole = materialize(lines.join(dictionary, "part").select("doc_ids", "held", "sizes", "ids", "c", "class", "part"), "parts")
     done_with(parts, words)
