@@ -13,12 +13,10 @@ of the nearest centroids, found in a graph of the centroids, and each shard's qu
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +24,7 @@ from pyspark.sql import functions as F
 from ..plans.workspace import small_batches, written
 from .bm25 import top_k
 from .dense import QUERY_BLOCK, ROW_BLOCK, _scored, dimension
-from .hnsw import EF_BUILD, EF_SEARCH, SHARD, M, Graph
+from .hnsw import EF_BUILD, EF_SEARCH, SHARD, M, Graph, ask_graphs, build_graphs
 
 #: Vectors that centroids are fitted to, about, and rounds of fitting; cells at most.
 SAMPLE, ROUNDS, MOST_CELLS = 16_384, 8, 1024
@@ -207,7 +205,7 @@ def search_bounded(index: Blocks, queries: DataFrame, k: int) -> DataFrame:
 
 @dataclass
 class Routed:
-    """graphs (shard, cell, graph), and the graph of the centroids, whose ids are the cells."""
+    """graphs (shard, cell, part, graph), in pieces, and the graph of the centroids, whose ids are the cells."""
 
     graphs: DataFrame
     centroids: np.ndarray
@@ -220,17 +218,14 @@ def build_routed(vectors: DataFrame, cells: int | None = None, seed: int = 0, m:
     c = centroids(vectors, cells or max(1, -(-vectors.count() // shard)))
     coarse = Graph(np.arange(len(c)), c, m, ef, seed)
     placed = written(in_cells(vectors, c), "cells")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts"))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_id")
-        cell, part = int(pdf["cell"].iloc[0]), int(pdf["part"].iloc[0])
-        graph = Graph(pdf["chunk_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_numpy()).astype(float), m, ef, seed + cell)
-        return pd.DataFrame({"cell": [cell], "part": [part], "graph": [pickle.dumps(graph)]})
-
-    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"))  # a row for each cell
-    graphs = dealt.select("cell", "part", "chunk_id", "embedding").groupBy("cell", "part").applyInPandas(build, "cell int, part int, graph binary")
-    return Routed(written(graphs.select((F.col("cell").cast("long") * (1 << 20) + F.col("part")).alias("shard"), "cell", "graph"), "graphs"), c, coarse)
+    sizes = sorted((r["cell"], -(-r["count"] // shard)) for r in placed.groupBy("cell").count().collect())
+    first = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    numbers = F.broadcast(placed.sparkSession.createDataFrame([(cell, f, n) for (cell, n), f in zip(sizes, first)], "cell int, first int, parts int"))  # a row for each cell
+    number = (F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))).cast("int")
+    dealt = placed.join(numbers, "cell").select(number.alias("shard"), "chunk_id", "embedding")
+    graphs = build_graphs(dealt, first[-1], seed, m, ef)
+    of = numbers.select("cell", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("shard"))
+    return Routed(written(graphs.join(F.broadcast(of), "shard").select("shard", "cell", "part", "graph"), "graphs"), c, coarse)
 
 
 def routes(index: Routed, queries: DataFrame, probes: int) -> DataFrame:
@@ -248,24 +243,11 @@ def routes(index: Routed, queries: DataFrame, probes: int) -> DataFrame:
 
 def search_routed(index: Routed, queries: DataFrame, k: int, probes: int, ef: int | None = None) -> DataFrame:
     """(qid, rank, chunk_id, score) for queries (qid, embedding): each meets the graphs of its nearest cells alone."""
-    schema = "qid long, chunk_id long, score double"
     if k <= 0 or not len(index.centroids):
-        return top_k(queries.sparkSession.createDataFrame([], schema), k).withColumn("score", F.col("score").cast("float"))
+        return top_k(queries.sparkSession.createDataFrame([], "qid long, chunk_id long, score float"), k)
     width, asked = index.centroids.shape[1], dimension(queries.select("embedding"))
     if asked not in (0, width):
         raise ValueError(f"a query has {asked} dimensions, the index {width}")
-    sent = written(routes(index, queries, probes).join(index.graphs.select("shard", "cell"), "cell"), "routes")
-    lots = sent.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERY_LOT).cast("int").alias("lots"))
-    own = sent.join(lots, "shard").withColumn("lot", F.pmod(F.xxhash64("qid"), F.col("lots")).cast("int"))
-    copies = index.graphs.join(lots, "shard").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for blob in right["graph"]:
-            graph = pickle.loads(blob)
-            for qid, q in zip(left["qid"], left["embedding"]):
-                rows += [(qid, n, s) for n, s in graph.search(np.asarray(q, float), k, ef)]
-        return pd.DataFrame(rows, columns=["qid", "chunk_id", "score"])
-
-    found = own.select("shard", "lot", "qid", "embedding").groupBy("shard", "lot").cogroup(copies.select("shard", "lot", "graph").groupBy("shard", "lot")).applyInPandas(search, schema)
-    return top_k(found, k).withColumn("score", F.col("score").cast("float"))
+    sent = written(routes(index, queries, probes).join(F.broadcast(index.graphs.select("shard", "cell").distinct()), "cell"), "routes")
+    lots = sorted((r["shard"], -(-r["count"] // QUERY_LOT)) for r in sent.groupBy("shard").count().collect())
+    return top_k(ask_graphs(index.graphs, sent, lots, k, ef), k)
