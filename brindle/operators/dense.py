@@ -15,6 +15,8 @@ from .bm25 import top_k
 
 #: Queries of a block, and rows of a block.
 QUERY_BLOCK, ROW_BLOCK = 512, 2048
+#: Queries that a block of rows meets in one row: the rows are repeated once for so many.
+MET_QUERIES = 4096
 
 
 def dimension(vectors: DataFrame) -> int:
@@ -73,28 +75,48 @@ def search_flat(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     small_batches(spark)
     # every block of rows meets every block of queries; what goes to the driver is a number for each block of queries
-    asked_in = written(blocks(queries, "qid", QUERY_BLOCK).withColumn("block", F.monotonically_increasing_id()).withColumnsRenamed({"ids": "qids", "x": "q"}), "queries")
+    asked_in = written(blocks(queries, "qid", MET_QUERIES).withColumn("block", F.monotonically_increasing_id()).withColumnsRenamed({"ids": "qids", "x": "q"}), "queries")
     numbers = [F.lit(r["block"]) for r in asked_in.select("block").collect()]
     met = blocks(vectors, "chunk_id", ROW_BLOCK).withColumn("block", F.explode(F.array(*numbers))).join(asked_in, "block")
     return top_k(met.select("qids", "q", "ids", "x").mapInArrow(lambda it: _scored(it, width, k), schema), k)
 
 
+def _sums(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Products of rows that stand side by side, or of all with all where they have an axis more: in double precision, left to right, as floats."""
+    s = np.zeros(np.broadcast_shapes(q.shape[:-1], x.shape[:-1]))
+    for j in range(q.shape[-1]):
+        s += q[..., j] * x[..., j]
+    return s.astype(np.float32)
+
+
 def _scored(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
     """The k best rows of each block for each query, and what ties with them."""
     for b in batches:
         for qids, q, ids, x in zip(*(b.column(i).to_pylist() for i in range(4))):
-            qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-            q, x = np.frombuffer(q).reshape(-1, width), np.frombuffer(x).reshape(-1, width)
-            s = np.zeros((len(q), len(x)))
-            for j in range(width):  # left to right
-                s += q[:, j, None] * x[None, :, j]
-            s = s.astype(np.float32)
-            if len(x) > k:
-                row, col = np.nonzero(s >= np.partition(s, len(x) - k, axis=1)[:, [len(x) - k]])
-            else:
-                row, col = np.divmod(np.arange(s.size), len(x))
-            order = np.lexsort((ids[col], -s[row, col], row))
-            row, col = row[order], col[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, col = row[keep], col[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[col]), pa.array(s[row, col])], names=["qid", "chunk_id", "score"])
+            ids, x = np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, width)
+            all_qids, all_q = np.frombuffer(qids, np.int64), np.frombuffer(q).reshape(-1, width)
+            for i in range(0, len(all_q), QUERY_BLOCK):
+                yield _best(all_qids[i : i + QUERY_BLOCK], all_q[i : i + QUERY_BLOCK], ids, x, k)
+
+
+def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+    if len(x) > k:
+        with np.errstate(all="ignore"):
+            # one product tells what cannot be among the k best: its sums differ from those left to right by less than the slack
+            s = q @ x.T
+            kth = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
+            slack = 2.0**-21 * np.abs(kth) + 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max()) + 1e-44
+        if np.isfinite(s).all() and np.isfinite(slack).all():
+            row, col = np.nonzero(s >= (kth - slack)[:, None])
+            score = _sums(q[row], x[col])
+        else:
+            s = _sums(q[:, None, :], x[None, :, :])
+            row, col = np.nonzero(s >= np.partition(s, len(x) - k, axis=1)[:, [len(x) - k]])
+            score = s[row, col]
+    else:
+        row, col = np.divmod(np.arange(len(q) * len(x)), max(len(x), 1))
+        score = _sums(q[:, None, :], x[None, :, :]).ravel()
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pa.RecordBatch.from_arrays([pa.array(qids[row[keep]]), pa.array(ids[col[keep]]), pa.array(score[keep])], names=["qid", "chunk_id", "score"])
